@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pulsefield.llm import mixing, topk
+from pulsefield.llm import mixing, simhash, substring, topk, warc
 
 QUERIES = {
+    "op4_simhash_groups": simhash.op4_simhash_groups,
+    "op6_warc_round_trip": warc.op6_warc_round_trip,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_remove_repeats": substring.op8_remove_repeats,
     "op10_exact_topk": topk.op10_exact_topk,
 }
 
 SQL = {
+    "op6_warc_round_trip": warc.OP6_SQL,
     "op7_mix_sources": mixing.OP7_SQL,
+    "op8_remove_repeats": substring.OP8_SQL,
     "op10_exact_topk": topk.OP10_SQL,
 }
