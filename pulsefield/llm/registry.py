@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pulsefield.llm import mixing, simhash, substring, topk, warc
+from pulsefield.llm import mixing, simhash, substring, tokens, topk, toxicity, warc
 
 QUERIES = {
+    "op2_toxicity_grades": toxicity.op2_toxicity_grades,
     "op4_simhash_groups": simhash.op4_simhash_groups,
     "op6_warc_round_trip": warc.op6_warc_round_trip,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_remove_repeats": substring.op8_remove_repeats,
+    "op9_token_shards": tokens.op9_token_shards,
     "op10_exact_topk": topk.op10_exact_topk,
 }
 
