@@ -37,7 +37,7 @@ BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(4)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
@@ -61,7 +61,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def _spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     """The polynomial hash of values[start:end] for each pair, from one running sum."""
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(base, len(values)), out=sums[1:])
+    np.multiply(values, powers(base, len(values)), out=sums[1:], dtype=np.uint64)
+    np.add.accumulate(sums[1:], out=sums[1:])
     return (sums[ends] - sums[starts]) * powers(inverse(base), len(values) + 1)[starts]
 
 
@@ -77,7 +78,7 @@ class Chunk:
         self.starts, self.ends = np.flatnonzero(edge[:-1] == -1), np.flatnonzero(edge[1:] == 1) + 1
         bounds = np.cumsum([0, *(len(x) + 1 for x in raw)])
         self.first_word = np.searchsorted(self.starts, bounds)
-        hashed = _mixed(_spans_hash(buf.astype(np.uint64) + np.uint64(1), self.starts, self.ends, BYTE_BASE) + (self.ends - self.starts).astype(np.uint64))
+        hashed = _mixed(_spans_hash(buf + np.uint8(1), self.starts, self.ends, BYTE_BASE) + (self.ends - self.starts).astype(np.uint64))
         doc = np.repeat(np.arange(len(raw)), np.diff(self.first_word))
         whole = np.flatnonzero(doc[: max(0, len(doc) - window + 1)] == doc[window - 1 :]) if len(doc) >= window else np.zeros(0, np.int64)
         self.windows = whole
@@ -102,15 +103,14 @@ class Chunk:
                 yield int(b - a), lost, b" ".join(pieces).decode("utf-8", "surrogatepass")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, chunk_bytes: int = 8 << 20, bucket_hashes: int = 1 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, chunk_bytes: int = 2 << 20, bucket_hashes: int = 1 << 20) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text without the words of repeated windows."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first().bytes or 1
     n_chunks, n_buckets = math.ceil(size / chunk_bytes), max(1, math.ceil(size / 6 / bucket_hashes))
-    parts = max(n_chunks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # Length and opening also spread rows that share an id. Both uses of the chunks read this one shuffle.
     chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 64)), F.lit(n_chunks)).cast("int"))
-    chunked = chunked.repartition(parts, "chunk")
+    chunked = chunked.repartition("chunk")
 
     def split(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, list[slice]]:
         """The sorted distinct hashes, whether each occurs twice, and the part of each bucket."""
