@@ -8,7 +8,7 @@ of shingle counts, of at least ``threshold``.
    floor((1 - threshold) * n) + 1 of them. Each item's rarest so many, by the number of items that have them, are its
    anchors. Every shingle of every document meets the anchors in a hash join; no window without one can qualify.
 2. Windows. Each anchor met opens the item-sized windows that contain it (a window with several, at the first).
-   Their SimHash counts each bit in a lane of a sum, two lanes to a long.
+   Each gets its SimHash.
 3. Multi-index. Items stand under (size, block, bits of the block) for radius + 1 blocks of the fingerprint. Fingerprints within
    ``radius`` bits agree on a block, so probing each block finds all of them.
 4. Verification by the exact similarity. The best window of each document and item is kept.
@@ -16,6 +16,9 @@ of shingle counts, of at least ``threshold``.
 At a similarity of 0.8 fingerprints of 64 bits differ in 10 bits on average (standard deviation 3), so a radius of 19 leaves out
 about one such window in a thousand, and no copy.
 
+Arrays are exploded by the outer form: for the inner one the optimizer adds a filter on the array's size and inlines
+the array into it, whose lambdas then tokenize the text again for every element.
+
 All of it is DataFrame expressions. The anchor and item tables are broadcast if they have at most
 ``broadcast_rows`` rows, and shuffled otherwise.
 
@@ -38,10 +41,10 @@ def tokens(text: Column) -> Column:
 
 
 def shingles(words: Column, width: int) -> Column:
-    """The hash of every run of width words."""
+    """The hash of every run of width words. Elements are taken by place: slice() would copy the whole array each time."""
     n = F.size(words) - (width - 1)
     empty = F.array().cast("array<bigint>")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, width)))).otherwise(empty)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.xxhash64(*[F.get(words, i + d) for d in range(width)]))).otherwise(empty)
 
 
 def _told_apart(hashes: Column) -> Column:
@@ -51,20 +54,49 @@ def _told_apart(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), first).otherwise(tagged)
 
 
-def add_simhash(rows: DataFrame, keys: list[str], hashes: str = "hashes") -> DataFrame:
-    """keys, hashes and fingerprint of rows that the keys tell apart."""
-    each = rows.select(*keys, hashes, F.explode(hashes).alias("h"))
-    lanes = [
-        F.sum(F.shiftrightunsigned("h", 2 * k).bitwiseAND(F.lit(1)) + F.shiftleft(F.shiftrightunsigned("h", 2 * k + 1).bitwiseAND(F.lit(1)), 32)).alias(f"lane{k}")
-        for k in range(BITS // 2)
-    ]
-    sums = each.groupBy(*keys).agg(F.first(hashes).alias(hashes), F.count("*").alias("n"), *lanes)
-    bits = F.lit(0).cast("long")
-    for k in range(BITS // 2):
-        lane = F.col(f"lane{k}")
-        for b, count in ((2 * k, lane.bitwiseAND(F.lit(0xFFFFFFFF))), (2 * k + 1, F.shiftrightunsigned(lane, 32))):
-            bits = bits.bitwiseOR(F.when(count * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    return sums.select(*keys, hashes, bits.alias("fingerprint"))
+def simhash(hashes: Column) -> Column:
+    """64 bits, each set if it is in over half the hashes. Counts stand in 16-bit lanes, four to a long."""
+    zero, lane = F.lit(0).cast("long"), F.lit(0x0001000100010001)
+    start = F.struct(*[zero.alias(f"l{k}") for k in range(16)])
+
+    def add(a: Column, h: Column) -> Column:
+        return F.struct(*[(a[f"l{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(lane)).alias(f"l{k}") for k in range(16)])
+
+    def bit(count: Column, place: int) -> Column:
+        return F.when(count * 2 > F.size(hashes), F.shiftleft(F.lit(1).cast("long"), place)).otherwise(zero)
+
+    def joined(counts: list[Column]) -> Column:
+        bits = zero
+        for place, count in enumerate(counts):
+            bits = bits.bitwiseOR(bit(count, place))
+        return bits
+
+    def finish(a: Column) -> Column:
+        return joined([F.shiftrightunsigned(a[f"l{place % 16}"], place // 16 * 16).bitwiseAND(F.lit(0xFFFF)) for place in range(BITS)])
+
+    def ones(place: int) -> Column:
+        return F.size(F.filter(hashes, lambda h: F.shiftrightunsigned(h, place).bitwiseAND(F.lit(1)) == 1))
+
+    by_bit = joined([ones(place) for place in range(BITS)])
+    return F.when(F.size(hashes) < 1 << 16, F.aggregate(hashes, start, add, finish)).otherwise(by_bit)
+
+
+def _windows(hashes: Column, met: Column, width: int) -> Column:
+    """The item-sized windows (size, start, hashes) that hold one of the anchors met, an array of (size, at)."""
+    none = F.array().cast("array<int>")
+
+    def of(m: Column) -> Column:
+        span = m["size"] - width  # a window's shingles beyond the first
+        last = F.greatest(F.size(hashes) - 1 - span, F.lit(0))  # a text shorter than the item is one window
+
+        def starts(pos: Column, i: Column) -> Column:
+            opened = F.when(i > 0, F.least(F.get(m["at"], i - 1), last)).otherwise(F.lit(-1))
+            low, high = F.greatest(pos - span, opened + 1, F.lit(0)), F.least(pos, last)
+            return F.when(low <= high, F.sequence(low, high)).otherwise(none)
+
+        return F.transform(F.flatten(F.transform(m["at"], starts)), lambda s: F.struct(m["size"].alias("size"), s.alias("start"), F.transform(F.sequence(s, F.least(s + span, F.size(hashes) - 1)), lambda i: F.get(hashes, i)).alias("hashes")))
+
+    return F.flatten(F.transform(met, of))
 
 
 def _block_values(fingerprint: Column, n: int) -> list[Column]:
@@ -74,7 +106,7 @@ def _block_values(fingerprint: Column, n: int) -> list[Column]:
 
 def _blocks(fingerprint: Column, n: int) -> Column:
     """One row per block: its number and value."""
-    return F.explode(F.array(*[F.struct(F.lit(j).alias("j"), v.alias("value")) for j, v in enumerate(_block_values(fingerprint, n))]))
+    return F.explode_outer(F.array(*[F.struct(F.lit(j).alias("j"), v.alias("value")) for j, v in enumerate(_block_values(fingerprint, n))]))
 
 
 def contaminations(
@@ -99,7 +131,7 @@ def contaminations(
     every = hashed[0]
     for more in hashed[1:]:
         every = every.unionAll(more)
-    known = materialize(add_simhash(every, ["item_id", "item_row", "size", "width"]), "items")
+    known = materialize(every.select("item_id", "item_row", "size", "width", "hashes", simhash(F.col("hashes")).alias("fingerprint")), "items")
 
     each = known.select("item_row", "size", "width", F.size("hashes").alias("n"), F.explode(F.array_distinct("hashes")).alias("h"))
     common = each.groupBy("h", "width").agg(F.countDistinct("item_row").alias("in_items"))
@@ -111,29 +143,20 @@ def contaminations(
     anchors = materialize(ranked.where(F.col("before") <= F.floor((1 - threshold) * F.col("n") + 1e-9)).select("h", "size", "width").distinct(), "anchors")
     anchors_hint = F.broadcast(anchors) if small_enough(anchors, broadcast_rows) else anchors
 
-    met = []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), tokens(F.col("text")).alias("w"))
+    opened = None
     for k in widths:
-        rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        arrays = rows.select("doc_id", F.xxhash64("text").alias("text_key"), shingles(tokens(F.col("text")), k).alias("hashes"))
-        placed = arrays.select("doc_id", "text_key", "hashes", F.posexplode("hashes").alias("pos", "h"))
-        span = F.col("size") - k  # a window's shingles beyond the first
-        low = F.greatest(F.col("pos") - span, F.lit(0))
-        met.append(
-            placed.join(anchors_hint.where(F.col("width") == k).drop("width"), "h").select(
-                "doc_id", "text_key", "size", "pos", low.alias("low"), F.slice("hashes", low + 1, 2 * span + 1).alias("hood"), F.size("hashes").alias("total"), span.alias("span")
-            )
-        )
-    hits = met[0]
-    for more in met[1:]:
-        hits = hits.unionAll(more)
-    in_doc = Window.partitionBy("doc_id", "text_key", "size").orderBy("pos")
-    first = F.greatest(F.col("low"), F.coalesce(F.lag("pos").over(in_doc) + 1, F.lit(0)))
-    # A text shorter than the item is one window; else windows end inside the text.
-    last = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("total") - 1 - F.col("span")))
-    opened = hits.withColumn("first", first).withColumn("last", last).where("first <= last")
-    starts = opened.withColumn("start", F.explode(F.sequence("first", "last")))
-    windows = starts.select("doc_id", "text_key", "size", "start", F.slice("hood", F.col("start") - F.col("low") + 1, F.col("span") + 1).alias("hashes"))
-    marked = add_simhash(windows, ["doc_id", "text_key", "size", "start"])
+        arrays = rows.select("doc_id", "text_key", shingles(F.col("w"), k).alias("hashes"))
+        placed = arrays.select("doc_id", "text_key", F.posexplode_outer("hashes").alias("pos", "h"))  # narrow rows
+        met = placed.join(anchors_hint.where(F.col("width") == k).drop("width"), "h")
+        met = met.groupBy("doc_id", "text_key", "size").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+        met = materialize(met.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("size", "at")).alias("met")), "met")
+        same = (arrays["text_key"] == met["text_key"]) & arrays["doc_id"].eqNullSafe(met["doc_id"])
+        held = arrays.join(met, same).select(arrays["doc_id"], arrays["text_key"], "hashes", "met")
+        more = held.select("doc_id", "text_key", F.explode_outer(_windows(F.col("hashes"), F.col("met"), k)).alias("v")).where("v is not null").select("doc_id", "text_key", "v.*")
+        opened = more if opened is None else opened.unionAll(more)
+    marked = opened.withColumn("fingerprint", simhash(F.col("hashes")))
 
     n = radius + 1
     index = materialize(known.select("item_id", "item_row", "size", F.col("hashes").alias("item_hashes"), F.col("fingerprint").alias("item_fingerprint"), _blocks(F.col("fingerprint"), n).alias("b")).select("*", "b.*").drop("b"), "index")

@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulsefield.llm.common import WORD, materialize, table
+from pulsefield.llm.common import WORD, materialize, table, words
 
 WEIGHTS = (5, 2, 1)
 #: Start and end rates of the schedules, dealt to the sources like the weights.
@@ -79,7 +79,10 @@ def mix_sources(
     max_repeats: int = 3,
     bucket_rows: int = 1_000_000,
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and draws, an array of (pass, words, position)."""
+    """doc_id, source, size, copy, source_size, target, taken and draws, an array of (pass, words, position).
+
+    copy numbers the rows that share doc_id, source and size from 0.
+    """
     sized = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(source_col), F.lit("")).alias("skey"),
@@ -115,6 +118,7 @@ def mix_sources(
         "doc_id",
         F.when(~F.col("snull"), F.col("skey")).alias("source"),
         "size",
+        "copy",
         "source_size",
         "target",
         F.aggregate("draws", F.lit(0).cast("long"), lambda total, d: total + d["words"]).alias("taken"),
@@ -122,6 +126,23 @@ def mix_sources(
     )
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs as the mix draws them, a row per draw; ``draw`` has its pass, words and position.
+
+    The columns of docs are under ``row``; a draw that was cut keeps so many words of the text, which is replaced in ``row``.
+    """
+    mix = mix_sources(docs, id_col, text_col, source_col, **options)
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("k_id"), F.coalesce(F.col(source_col), F.lit("")).alias("k_source"), F.col(source_col).isNull().alias("k_null"), size.alias("k_size"), F.xxhash64(text_col).alias("k_tie"))
+    same = Window.partitionBy("k_id", "k_source", "k_null", "k_size").orderBy("k_tie")
+    numbered = keyed.withColumn("k_copy", (F.row_number().over(same) - 1).cast("long"))
+    drawn = mix.where(F.size("draws") > 0).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("snull"), "size", "copy", "draws")
+    met = (F.col("k_size") == F.col("size")) & (F.col("k_copy") == F.col("copy")) & (F.col("k_source") == F.col("source")) & (F.col("k_null") == F.col("snull")) & F.col("k_id").eqNullSafe(F.col("doc_id"))
+    joined = numbered.join(drawn, met).select("row", "size", F.explode("draws").alias("draw"))
+    text = F.when(F.col("draw.words") < F.col("size"), F.array_join(F.slice(words(F.col("row")[text_col]), 1, F.col("draw.words").cast("int")), " ")).otherwise(F.col("row")[text_col])
+    return joined.select(F.col("row").withField(text_col, text).alias("row"), "draw")
+
+
 def training_order(mix: DataFrame) -> DataFrame:
     """One row per draw (doc_id, source, pass, words, position), range-sorted by position."""
     draws = materialize(mix.select("doc_id", "source", F.explode("draws").alias("d")).select("doc_id", "source", "d.*"), "draws")

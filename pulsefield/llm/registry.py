@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pulsefield.llm import mixing, simhash, substring, tokens, topk, toxicity, warc
+from pulsefield.llm import decontaminate, lines, mixing, secrets, simhash, substring, tokens, topk, toxicity, warc
 
 QUERIES = {
+    "op1_scan_secrets": secrets.op1_scan_secrets,
     "op2_toxicity_grades": toxicity.op2_toxicity_grades,
+    "op3_remove_repeated_lines": lines.op3_remove_repeated_lines,
     "op4_simhash_groups": simhash.op4_simhash_groups,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_warc_round_trip": warc.op6_warc_round_trip,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_remove_repeats": substring.op8_remove_repeats,
@@ -15,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_remove_repeated_lines": lines.OP3_SQL,
     "op6_warc_round_trip": warc.OP6_SQL,
     "op7_mix_sources": mixing.OP7_SQL,
     "op8_remove_repeats": substring.OP8_SQL,
