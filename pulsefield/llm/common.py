@@ -56,7 +56,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     folder = shared_folder(spark, name)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)  # Snappy's buffers would pile up outside the heap
     out = spark.read.schema(df.schema).parquet(folder)
     out.folder = folder
     return out

@@ -106,7 +106,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     numbered = materialize(rows.select("doc_id", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("rid"), "text"), "numbered")
     runs = repeated_runs(numbered, min_lines)
     cuts = runs.groupBy("rid").agg(F.max(F.col("stop") - F.col("start")).alias("longest"), F.flatten(F.collect_list(F.sequence("start", F.col("stop") - 1))).alias("gone"))
-    joined = numbered.join(cuts, "rid", "left").withColumn("lines", F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(F.split("text", "\n", -1)))
+    joined = numbered.join(cuts.hint("shuffle_hash"), "rid", "left").withColumn("lines", F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(F.split("text", "\n", -1)))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.get("lines", i))
     return joined.select(
         "doc_id",
