@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pulsefield.plans import base, kpis, people, records
 
-from pyspark.sql import DataFrame, SparkSession
+MODULES = (kpis, people, records)
 
-Query = Callable[[SparkSession, str], DataFrame]
 
-
-def queries() -> dict[str, Query]:
-    return {}
+def queries() -> dict:
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
