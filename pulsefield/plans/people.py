@@ -192,11 +192,12 @@ def share_cascade(spark, sf_dir):
     return m.select("event_id", target.alias("target"), basis.alias("basis"))
 
 
-@query("""WITH ev AS (SELECT l_orderkey * 10 + l_linenumber AS ev, o_custkey AS doctor, CAST(l_shipdate AS DATE) AS at_d FROM lineitem JOIN orders ON l_orderkey = o_orderkey), sh AS (SELECT o_custkey AS doctor, CAST(o_orderdate AS DATE) AS sd, o_orderkey AS share FROM orders)
+@query("""WITH ev AS (SELECT l_orderkey * 10 + l_linenumber AS ev, min(o_custkey) AS doctor, CAST(min(l_shipdate) AS DATE) AS at_d FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1), sh AS (SELECT o_custkey AS doctor, CAST(o_orderdate AS DATE) AS sd, o_orderkey AS share FROM orders)
   SELECT e.ev, (SELECT share FROM sh WHERE sh.doctor = e.doctor AND sd <= at_d AND at_d - sd <= 7 ORDER BY sd DESC, share DESC LIMIT 1) AS share FROM ev e""")
 def playback_asof(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("doctor"), F.to_date("o_orderdate").alias("sd"))
-    ev = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ev"), F.to_date("l_shipdate").alias("at")).join(o.select(F.col("o_orderkey").alias("l_orderkey"), "doctor"), "l_orderkey")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ev")).agg(F.to_date(F.min("l_shipdate")).alias("at"))
+    ev = lines.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "doctor"), "l_orderkey")
     return J.latest_within(ev.select("ev", "doctor", "at"), o.select("doctor", "sd", F.col("o_orderkey").alias("share")), ["doctor"], "ev", "at", "sd", "share", 7).select("ev", "share")
 
 
