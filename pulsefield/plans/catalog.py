@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pulsefield.plans import base, kpis, people, records
+from pulsefield.plans import base, dimensions, kpis, people, records, reports
 
-MODULES = (kpis, people, records)
+MODULES = (kpis, people, records, dimensions, reports)
 
 
 def queries() -> dict:
