@@ -61,12 +61,12 @@ def campaign_map_dq(spark, sf_dir):
 
 
 @query(f"""WITH {ACT}, {DOC}, u AS (SELECT doctor, 0 AS src FROM doc WHERE doctor % 2 = 0 UNION ALL SELECT doctor, 1 FROM act WHERE event_type = 'view' UNION ALL SELECT doctor + 100000, 2 FROM act WHERE event_type = 'click' AND doctor % 7 = 0)
-  SELECT u.doctor, min(src) AS source, md5('IC:' || u.doctor) AS doctor_key, coalesce(any_value(state), 'Unmapped') AS state FROM u LEFT JOIN doc ON u.doctor = doc.doctor GROUP BY u.doctor""")
+  SELECT u.doctor, min(src) AS source, md5('base:' || u.doctor) AS doctor_key, coalesce(any_value(state), 'Unmapped') AS state FROM u LEFT JOIN doc ON u.doctor = doc.doctor GROUP BY u.doctor""")
 def doctor_base_union(spark, sf_dir):
     a, d = activity(spark, sf_dir), doctors(spark, sf_dir).select("doctor", "state")
     parts = [d.where("doctor % 2 = 0").select("doctor", F.lit(0).alias("source")), a.where("event_type = 'view'").select("doctor", F.lit(1).alias("source")), a.where("event_type = 'click' and doctor % 7 = 0").select((F.col("doctor") + 100000).alias("doctor"), F.lit(2).alias("source"))]
     u = reduce(lambda x, y: x.unionByName(y), parts).groupBy("doctor").agg(F.min("source").alias("source"))
-    return u.join(d, "doctor", "left").select("doctor", "source", joined_hash("md5", ":", F.lit("IC"), F.col("doctor")).alias("doctor_key"), F.coalesce("state", F.lit("Unmapped")).alias("state"))
+    return u.join(d, "doctor", "left").select("doctor", "source", joined_hash("md5", ":", F.lit("base"), F.col("doctor")).alias("doctor_key"), F.coalesce("state", F.lit("Unmapped")).alias("state"))
 
 
 @query("""WITH a AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE s_name END AS name, CAST(s_nationkey AS VARCHAR) AS zone, s_suppkey % 10 AS fresh FROM supplier WHERE s_suppkey % 5 <> 0), b AS (SELECT s_suppkey AS id, 'new ' || s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'Z' END AS zone, s_suppkey % 7 AS fresh FROM supplier WHERE s_suppkey % 6 <> 0)

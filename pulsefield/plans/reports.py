@@ -233,11 +233,11 @@ def detail_rollup(spark, sf_dir):
     return r.withColumn("band", health_band(F.col("health")))
 
 
-@query(f"""WITH {ACT}, t AS (SELECT 'IC' AS system, count(DISTINCT doctor) FILTER (WHERE event_type = 'view') AS done, count(DISTINCT doctor) AS base FROM act WHERE campaign = 'C0' UNION ALL SELECT 'PE', count(DISTINCT doctor) FILTER (WHERE event_type = 'click'), count(DISTINCT doctor) FROM act WHERE campaign = 'C1' UNION ALL SELECT 'RFA', count(DISTINCT doctor) FILTER (WHERE event_type = 'purchase' AND k < 30), count(DISTINCT doctor) FROM act WHERE campaign = 'C2')
+@query(f"""WITH {ACT}, t AS (SELECT 'visits' AS system, count(DISTINCT doctor) FILTER (WHERE event_type = 'view') AS done, count(DISTINCT doctor) AS base FROM act WHERE campaign = 'C0' UNION ALL SELECT 'education', count(DISTINCT doctor) FILTER (WHERE event_type = 'click'), count(DISTINCT doctor) FROM act WHERE campaign = 'C1' UNION ALL SELECT 'screening', count(DISTINCT doctor) FILTER (WHERE event_type = 'purchase' AND k < 30), count(DISTINCT doctor) FROM act WHERE campaign = 'C2')
   SELECT system, done, base, round(least(done * 100.0::DOUBLE / base, 100), 6) AS adoption_rate FROM t""")
 def cross_system(spark, sf_dir):
     c, e = F.col("campaign"), F.col("event_type")
-    system = F.when(c == "C0", "IC").when(c == "C1", "PE").otherwise("RFA")
+    system = F.when(c == "C0", "visits").when(c == "C1", "education").otherwise("screening")
     done = F.when(c == "C0", e == "view").when(c == "C1", e == "click").otherwise((e == "purchase") & (F.col("k") < 30))
     t = activity(spark, sf_dir).groupBy(system.alias("system")).agg(F.count_distinct(F.when(done, F.col("doctor"))).alias("done"), F.count_distinct("doctor").alias("base"))
     return t.withColumn("adoption_rate", F.round(capped_percent(F.col("done"), F.col("base")), 6))
