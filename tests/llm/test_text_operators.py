@@ -36,6 +36,13 @@ def test_secrets_equal_brute_force(spark):
     assert "random:4:52" in spans[4] and "random" not in spans[5]
 
 
+def test_a_long_run_is_tested_whole(spark):
+    rng = random.Random(6)
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(400_000))
+    got = secrets.scan_secrets(frame(spark, [(1, f"x {blob} y", "a"), (2, "ab" * 200_000, "a")])).select("doc_id", secrets.written(F.col("spans")).alias("spans")).collect()
+    assert {r.doc_id: r.spans for r in got} == {1: "random:2:400002", 2: ""} | ({2: "hex:0:400000"})
+
+
 def test_step_up_is_benjamini_hochberg():
     ps = [1e-6, 1e-4, 0.004, 0.03, 0.5, 0.9]
     import math
