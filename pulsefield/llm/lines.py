@@ -28,9 +28,13 @@ from pulsefield.llm.common import materialize, release, table
 BUCKETS = 256
 
 
-def _first_ranks(lines: DataFrame) -> DataFrame:
-    """h, r and n of each line hash that occurs more than once; r counts the occurrences of smaller hashes."""
-    counts = materialize(lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").withColumn("bucket", F.shiftright("h", 52).cast("int")), "lineids")
+def _repeated(lines: DataFrame) -> DataFrame:
+    """h, n and bucket (the leading bits of h) of each line hash that occurs more than once."""
+    return materialize(lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").withColumn("bucket", F.shiftright("h", 52).cast("int")), "lineids")
+
+
+def _first_ranks(counts: DataFrame) -> DataFrame:
+    """h and r of each repeated line; r counts the occurrences of smaller hashes."""
     coarse = counts.groupBy("bucket").agg(F.sum("n").alias("bn"))  # at most 4,096 rows
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = coarse.select("bucket", F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("offset"))
@@ -66,13 +70,15 @@ def repeated_runs(numbered: DataFrame, min_lines: int = 2) -> DataFrame:
     """rid, start and stop of the maximal runs of later copies, from rows (doc_id, tie, rid, text)."""
     lines = numbered.select("doc_id", "tie", "rid", F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "line")).where("pos is not null").select("doc_id", "tie", "rid", "pos", F.xxhash64("line").alias("h"))
     lines = materialize(lines, "lines")
-    placed = materialize(lines.join(_first_ranks(lines), "h").select("doc_id", "tie", "rid", "pos", "r"), "placed")
+    counts, total = _repeated(lines), lines.count()
+    placed = materialize(lines.join(_first_ranks(counts), "h").select("doc_id", "tie", "rid", "pos", "r"), "placed")
+    release(lines, counts)
     own = Window.partitionBy("rid").orderBy("pos")
     seg = Window.partitionBy("rid", "seg")
     rows = placed.withColumn("seg", F.col("pos") - F.row_number().over(own)).withColumn("seg_end", F.max("pos").over(seg) + 1)
     rows = rows.withColumn("seg_lines", F.count("*").over(seg)).where(F.col("seg_lines") >= min_lines).drop("seg_lines")
     rows = materialize(rows, "segments")
-    total = lines.count()
+    release(placed)
     if min_lines == 1:
         first = rows.groupBy("r").agg(F.min(F.struct("doc_id", "tie", "rid", "pos")).alias("first"))
         copies = [rows.join(first, "r").where("not (first.rid = rid and first.pos = pos)").select("rid", "pos", F.lit(1).alias("n"))]
