@@ -112,16 +112,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 64)), F.lit(n_chunks)).cast("int"))
     chunked = chunked.repartition("chunk")
 
-    def split(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, list[slice]]:
-        """The sorted distinct hashes, whether each occurs twice, and the part of each bucket."""
+    width = np.uint64(min((1 << 64) // n_buckets + 1, (1 << 64) - 1))
+
+    def split(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, dict[int, slice]]:
+        """The sorted distinct hashes, whether each occurs twice, and the part of each bucket that has some."""
         distinct, counts = np.unique(chunk.hashes, return_counts=True)
-        width = (1 << 64) // n_buckets + 1
-        at = np.searchsorted(distinct, np.array([min(i * width, (1 << 64) - 1) for i in range(n_buckets)], np.uint64))
-        return distinct, counts > 1, [slice(a, b) for a, b in zip(at, [*at[1:], len(distinct)], strict=True)]
+        bucket = distinct // width
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
+        return distinct, counts > 1, {int(bucket[i]): slice(i, j) for i, j in zip(starts, [*starts[1:], len(bucket)], strict=False)}
 
     def send(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         distinct, twice, parts = split(Chunk(_ordered(group)["text"].tolist(), window))
-        out = [(b, key[0], distinct[s].tobytes(), np.packbits(twice[s]).tobytes()) for b, s in enumerate(parts) if s.stop > s.start]
+        out = [(b, key[0], distinct[s].tobytes(), np.packbits(twice[s]).tobytes()) for b, s in parts.items()]
         return pd.DataFrame(out, columns=["bucket", "chunk", "hashes", "twice"])
 
     def count(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
