@@ -1,15 +1,17 @@
 """SimHash near-duplicate groups over a Gray-order hierarchical index.
 
 Fingerprints of 64 bits come from word shingles. Those that differ in at most ``radius`` bits agree on
-one of radius + 1 bit blocks, so the index has that many orders of the fingerprints: in each, the bits are rotated until another block leads,
-and the fingerprints are sorted by the Gray rank of the rotated bits. The leading block
-is the shared pattern of an upper node; below it, runs of neighbours in Gray order make
+``agree`` of radius + agree bit blocks, so the index has an order of the fingerprints for each choice of so many blocks: in each, the
+chosen blocks lead, and the fingerprints are sorted by the Gray rank of the bits so arranged. The leading blocks
+are the shared pattern of an upper node; below it, runs of neighbours in Gray order make
 nodes that keep the bits all members share (mask and pattern). Two nodes whose patterns differ in more
 than ``radius`` of the bits both share are pruned as whole groups; the difference grows as
 bits are added from level to level, and only leaves that survive compare their members.
 
 Work is on distinct fingerprints. Upper nodes with more than ``segment`` members are dealt out in
-segments, a task for each pair of segments, so no task holds a large node. A task
+segments, a task for each pair of segments, so no task holds a large node. More agreeing blocks make longer patterns and
+smaller nodes for more orders; as many are taken as keep nodes of unrelated fingerprints within a segment, so work
+stays near proportion to the distinct fingerprints. Every choice finds the same links. A task
 reports a spanning forest of the links it finds, not the pairs; components are then joined over the forest,
 which loses no link between groups.
 
@@ -21,6 +23,7 @@ of null ids only has a null component id. An empty table yields no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -80,16 +83,32 @@ def blocks(n: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def index_orders(nodes: DataFrame, n_orders: int) -> DataFrame:
-    """fingerprint, order, head (the leading block) and rank for each of the index's orders."""
+def index_orders(nodes: DataFrame, radius: int, agree: int) -> DataFrame:
+    """fingerprint, order, head (the leading blocks) and rank for each of the index's orders."""
     fp, made = F.col("fingerprint"), []
-    for j, (offset, width) in enumerate(blocks(n_orders)):
-        rotated = fp if offset == 0 else F.shiftleft(fp, offset).bitwiseOR(F.shiftrightunsigned(fp, BITS - offset))
-        head = F.shiftrightunsigned(rotated, BITS - width).cast("int")
-        made.append(F.struct(F.lit(j).alias("order"), head.alias("head"), gray_rank(rotated).alias("rank")))
+    parts = blocks(radius + agree)
+    for j, lead in enumerate(combinations(parts, agree)):
+        bits, used = F.lit(0).cast("long"), 0
+        for offset, width in [*lead, *(p for p in parts if p not in lead)]:
+            part = F.shiftrightunsigned(fp, BITS - offset - width).bitwiseAND(F.lit((1 << width) - 1))
+            used += width
+            bits = bits.bitwiseOR(F.shiftleft(part, BITS - used))
+        head = F.shiftrightunsigned(bits, BITS - sum(width for _, width in lead)).cast("int")
+        made.append(F.struct(F.lit(j).alias("order"), head.alias("head"), gray_rank(bits).alias("rank")))
     return nodes.select("fingerprint", F.explode(F.array(*made)).alias("o")).select("fingerprint", "o.*")
 
 
+def from_gray_rank(rank: np.ndarray) -> np.ndarray:
+    """The bit strings of ranks that gray_rank() gave."""
+    plain = rank.view(np.uint64) ^ np.uint64(1 << 63)
+    return plain ^ (plain >> np.uint64(1))
+
+
+def agreeing_blocks(n: int, radius: int, segment: int) -> int:
+    """The least number of leading blocks (up to 3) by which n unrelated fingerprints make nodes within a segment."""
+    return next((k for k in (1, 2) if n <= segment << (BITS // (radius + k) * k)), 3)
+
+
 class GrayIndex:
     """Nodes over fingerprints that stand in Gray order: level 0 is the leaves' members."""
 
@@ -173,9 +192,12 @@ def _cross_links(left: np.ndarray, right: np.ndarray, radius: int) -> list[tuple
     return [(x, y) for a, b in GrayIndex(left).near(GrayIndex(right), radius) for x, y in zip(a.tolist(), b.tolist(), strict=True) if forest.join(x, len(left) + y)]
 
 
-def near_links(nodes: DataFrame, radius: int = 4, segment: int = 2048, broadcast_rows: int = 200_000) -> DataFrame:
-    """A spanning forest (u, v), repeats possible, of the links between distinct fingerprints."""
-    placed = index_orders(nodes, radius + 1)
+def near_links(nodes: DataFrame, radius: int = 4, segment: int = 2048, broadcast_rows: int = 200_000, agree: int | None = None) -> DataFrame:
+    """A spanning forest (u, v), repeats possible, of the links between distinct fingerprints.
+
+    Without ``agree`` the number of leading blocks follows from that of the fingerprints.
+    """
+    placed = index_orders(nodes, radius, agree or agreeing_blocks(nodes.count(), radius, segment))
     large = materialize(placed.groupBy("order", "head").count().where(F.col("count") > segment).select("order", "head", F.ceil(F.col("count") / segment).cast("int").alias("n")), "large")
     hint = F.broadcast(large) if small_enough(large, broadcast_rows) else large
     dealt = placed.join(hint, ["order", "head"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
@@ -200,18 +222,17 @@ def near_links(nodes: DataFrame, radius: int = 4, segment: int = 2048, broadcast
 
     def find(batch: pd.DataFrame, starts: list[int], ends: list[int]) -> pd.DataFrame:
         bits, out = batch["fingerprint"].to_numpy(), []
-        s, t, mine, order = (batch[c].to_numpy() for c in ("s", "t", "mine", "order"))
+        arranged = from_gray_rank(batch["rank"].to_numpy())
+        s, t, mine = (batch[c].to_numpy() for c in ("s", "t", "mine"))
         for a, b in zip(starts, ends, strict=True):
             if b - a < 2:
                 continue
-            offset = blocks(radius + 1)[order[a]][0]
-            own = bits[a:b].view(np.uint64)
-            turned = (own << np.uint64(offset)) | (own >> np.uint64(BITS - offset)) if offset else own
+            own = arranged[a:b]
             if s[a] == t[a]:
-                out += [(bits[a + x], bits[a + y]) for x, y in _links(turned, radius)]
+                out += [(bits[a + x], bits[a + y]) for x, y in _links(own, radius)]
             else:
                 m = int(np.count_nonzero(mine[a:b] == s[a]))
-                out += [(bits[a + x], bits[a + m + y]) for x, y in _cross_links(turned[:m], turned[m:], radius) if 0 < m < b - a]
+                out += [(bits[a + x], bits[a + m + y]) for x, y in _cross_links(own[:m], own[m:], radius) if 0 < m < b - a]
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     return sorted_rows.mapInPandas(run, "u long, v long")

@@ -124,13 +124,17 @@ def test_near_duplicates_equal_brute_force(spark):
     assert len({c for _, _, c in want}) < len(rows) - 25
 
 
-@pytest.mark.parametrize("segment", [7, 2048])
-def test_links_lose_none_in_crowded_nodes(spark, segment):
+def test_more_blocks_lead_as_fingerprints_grow():
+    assert [simhash.agreeing_blocks(n, 4, 2048) for n in (0, 8_388_608, 8_388_609, 2 * 10**9, 10**11)] == [1, 1, 2, 2, 3]
+
+
+@pytest.mark.parametrize(("segment", "agree"), [(7, 1), (2048, 1), (7, 2), (2048, 2), (7, 3), (7, None)])
+def test_links_lose_none_in_crowded_nodes(spark, segment, agree):
     rng = random.Random(11)
     center = rng.getrandbits(64)
     prints = sorted({center ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(9))) for _ in range(150)} | {rng.getrandbits(64) for _ in range(50)})
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
-    links = simhash.near_links(spark.createDataFrame(signed, "fingerprint long"), 4, segment=segment).collect()
+    links = simhash.near_links(spark.createDataFrame(signed, "fingerprint long"), 4, segment=segment, agree=agree).collect()
     forest = {p[0]: p[0] for p in signed}
 
     def find(x):
