@@ -167,6 +167,18 @@ def banner_click_cascade(spark, sf_dir):
     return J.match_cascade(pg, [("ref", ids, "id"), ("u", urls, "url"), ("host", hosts, "host")], "banner").select("page_id", "banner", "basis")
 
 
+@query(f"""WITH {ACT}, ids AS (SELECT k AS banner, min(campaign) AS campaign FROM act WHERE event_type = 'signup' GROUP BY k HAVING count(DISTINCT campaign) = 1)
+  SELECT event_id, CASE WHEN act.event_id % 4 = 0 THEN act.campaign ELSE ids.campaign END AS campaign, d FROM act LEFT JOIN ids ON ids.banner = act.k
+  WHERE event_type = 'click' AND event_id % 4 <> 1 AND event_id % 7 <> 0 AND (event_id % 4 = 0 OR ids.campaign IS NOT NULL)""")
+def direct_banner_events(spark, sf_dir):
+    # A click's own campaign id wins (an ambiguous one drops the click), then a banner id of one campaign; undated clicks are dropped.
+    a = activity(spark, sf_dir)
+    ids = a.where("event_type = 'signup'").groupBy(F.col("k").alias("banner")).agg(F.min("campaign").alias("by_banner"), F.max("campaign").alias("last")).where("by_banner = last")
+    clicks = a.where("event_type = 'click' and event_id % 4 <> 1").withColumn("d", F.when(F.col("event_id") % 7 != 0, F.col("d"))).where("d is not null")
+    own = F.when(F.col("event_id") % 4 == 0, F.col("campaign"))
+    return clicks.join(ids, F.col("k") == F.col("banner"), "left").select("event_id", F.coalesce(own, "by_banner").alias("campaign"), "d").where("campaign is not null")
+
+
 @query(f"""WITH {ACT}, {DOC}, a AS (SELECT event_id, rep, 0 AS rank FROM act JOIN doc ON act.doctor = doc.doctor WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 'R' || (k % 7), 1 FROM act WHERE k % 2 = 0 UNION ALL SELECT event_id, 'R' || (event_id % 5), 2 FROM act WHERE event_id % 4 = 0) SELECT act.event_id, (SELECT rep FROM a WHERE a.event_id = act.event_id ORDER BY rank LIMIT 1) AS rep FROM act""")
 def event_rep_lookup(spark, sf_dir):
     a = activity(spark, sf_dir).join(doctors(spark, sf_dir).select("doctor", F.col("rep").alias("own")), "doctor", "left")
