@@ -109,16 +109,21 @@ def graded_labels(rows: list[np.ndarray], toxic: np.ndarray, marks: np.ndarray)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000, vocabulary: int = 20_000, least_rows: int = 5) -> OrdinalModel:
-    """Fit the model on a sample of at most sample_rows labelled documents."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
-    chosen = known.orderBy(F.xxhash64("id"), "id", "y").limit(sample_rows)  # narrow rows, bounded
+    """Fit the model on a sample of at most sample_rows labelled documents.
+
+    Each id counts once: with its highest grade if labels differ, with the text of least hash if rows repeat it.
+    A feature must be in least_rows rows and have a chi-squared of 15; samples too small for that ask for less.
+    """
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)  # narrow rows, bounded
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"y": batch["y"], "features": [sorted(features(t)) for t in batch["text"]]})
 
-    held = materialize(texts.join(F.broadcast(chosen), "id").select("y", "text").mapInPandas(extract, "y int, features array<string>"), "labelled")
+    one = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("tie"), "text")).alias("first"))
+    held = materialize(one.select("y", F.col("first.text").alias("text")).mapInPandas(extract, "y int, features array<string>"), "labelled")
     totals = {r.y: r["count"] for r in held.groupBy("y").count().collect()}
     lowest, n = min(totals, default=0), sum(totals.values())
     if len(totals) < 2:
@@ -130,7 +135,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     expected = F.col("n") * (up / n)
     gap = F.col("up") - expected
     chi = gap * gap / (expected * F.lit(1 - up / n) * (1 - F.col("n") / (n + 1)))
-    best = counts.where(F.col("n") >= least_rows).select("f", "n", "up", chi.alias("chi")).where("chi > 15").orderBy(F.desc("chi"), "f").limit(vocabulary).collect()
+    # Chi-squared is at most about n; the cut of 15 holds from 60 rows on.
+    enough, cut = min(least_rows, (min(up, n - up) + 1) // 2), min(15.0, n / 4)
+    best = counts.where(F.col("n") >= enough).select("f", "n", "up", chi.alias("chi")).where(F.col("chi") > cut).orderBy(F.desc("chi"), "f").limit(vocabulary).collect()
     if not best:
         release(held)
         return OrdinalModel({}, np.array([np.log((n - up) / up)]), lowest)
