@@ -1,6 +1,6 @@
 """Token-id shards with Elias-Fano document boundaries.
 
-Documents are range-partitioned by id; each task encodes its range in order and streams the ids to one shard.
+Documents are range-partitioned by id, or by keys that the caller gives; each task encodes its range in order and streams the ids to one shard.
 A shard holds the concatenated ids (16 bits each if the vocabulary allows, else 32), then, Elias-Fano
 coded, the token end of every document and the document ids, then a JSON footer. Elias-Fano keeps
 the low bits of a rising sequence in a packed array and the high bits as unary gaps, about 2 + log2(u/n) bits a
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsefield.llm.common import shared_folder, table
@@ -139,12 +139,18 @@ def _encoder(path: str, dtype: str) -> PieceEncoder:
     return PieceEncoder(path, dtype)
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, wide: bool = False, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 24 << 20) -> DataFrame:
-    """Encode and write the documents in id order; a row (shard, path, documents, tokens) per shard."""
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, wide: bool = False, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 24 << 20, order: tuple[Column, ...] | None = None) -> DataFrame:
+    """Encode and write the documents by id, or by the keys in order; a row (shard, path, documents, tokens) per shard.
+
+    order: unique sort keys of docs. Ids then don't rise, so they stand in the shard as they are.
+    """
     dtype = "<u4" if wide else "<u2"
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    by = order or (F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")))
+    given = order is not None
+    keys = [f"key{i}" for i in range(len(by))]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[k.alias(name) for k, name in zip(by, keys, strict=True)])
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    ranged = rows.repartitionByRange(max(1, math.ceil(size / shard_bytes)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ranged = rows.repartitionByRange(max(1, math.ceil(size / shard_bytes)), *keys).sortWithinPartitions(*keys)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         batches = (b for b in batches if len(b))
@@ -165,14 +171,16 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, wide
             ends = np.cumsum(np.array(lengths, np.int64))
             every = pd.concat(ids).to_numpy()
             nulls = sum(x is None for x in every)
-            known = np.array([int(x) for x in every[nulls:]], np.int64)
-            base = int(known[0]) if len(known) else 0
+            known = np.array([int(x) for x in every if x is not None], np.int64)
+            base = int(known[0]) if len(known) and not given else 0
             parts = []
-            for values in (ends, known - base):
+            for values in (ends,) if given else (ends, known - base):
                 ef = EliasFano.encode(values, int(values[-1]) + 1 if len(values) else 1)
                 parts.append({"n": ef.n, "low_bits": ef.low_bits, "sizes": [len(x) for x in ef.parts()]})
                 out.write(b"".join(ef.parts()))
-            meta = json.dumps({"dtype": dtype, "tokens": int(ends[-1]), "nulls": nulls, "base": base, "ends": parts[0], "ids": parts[1]}).encode()
+            if given:
+                out.write(np.array([0 if x is None else int(x) for x in every], "<i8").tobytes() + np.array([x is None for x in every], np.uint8).tobytes())
+            meta = json.dumps({"dtype": dtype, "tokens": int(ends[-1]), "nulls": nulls, "base": base, "ends": parts[0], "ids": None if given else parts[1]}).encode()
             out.write(meta + len(meta).to_bytes(4, "little") + MAGIC)
         yield pd.DataFrame({"shard": [shard], "path": [uri], "documents": [len(ends)], "tokens": [int(ends[-1])]})
 
@@ -194,12 +202,16 @@ class Shard:
         self.dtype, self.tokens, self.nulls, self.base = meta["dtype"], meta["tokens"], meta["nulls"], meta["base"]
         at, made = self.tokens * np.dtype(self.dtype).itemsize, []
         for part in (meta["ends"], meta["ids"]):
+            if part is None:  # ids as they are, then a byte each that tells nulls
+                made.append(None)
+                continue
             pieces = []
             for n in part["sizes"]:
                 pieces.append(source.read_at(n, at))
                 at += n
             made.append(EliasFano(part["n"], part["low_bits"], *pieces))
         self.ends, self.ids = made
+        self.ids_at = at
 
     def __len__(self) -> int:
         return self.ends.n
@@ -210,6 +222,9 @@ class Shard:
         return np.concatenate([lead, self.ends.select(first, last)])
 
     def doc_ids(self, first: int, last: int) -> list[int | None]:
+        if self.ids is None:
+            plain = np.frombuffer(self.source.read_at((last - first) * 8, self.ids_at + first * 8), "<i8").tolist()
+            return [None if empty else x for x, empty in zip(plain, self.source.read_at(last - first, self.ids_at + len(self) * 8 + first), strict=True)]
         none = max(0, min(last, self.nulls) - first)
         known = self.ids.select(max(0, first - self.nulls), last - self.nulls) + self.base if last > self.nulls else []
         return [None] * none + [int(x) for x in known]
@@ -251,13 +266,13 @@ def read_shards(spark: SparkSession, manifest: list, documents: int = 1024) -> D
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def token_digest(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
+def token_digest(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, order: tuple[Column, ...] | None = None) -> DataFrame:
     """Write the documents as shards, read them back and digest each document's ids."""
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    manifest = write_shards(docs, shared_folder(spark, "tokens"), tokenizer, end_id).collect()  # one small row per shard
+    manifest = write_shards(docs, shared_folder(spark, "tokens"), tokenizer, end_id, order=order).collect()  # one small row per shard
     return read_shards(spark, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
