@@ -23,13 +23,13 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node and component, the least node reachable, for each node of edges (u, v); loops are ignored.
 
     An empty edge table yields no rows.
     """
     current = materialize(edges.select("u", "v").where("u <> v").distinct(), "edges")
-    for _ in range(max_rounds):
+    while True:  # rounds grow with the logarithm of the longest path
         # Large star: every node hands its least known node to its larger neighbours.
         both = materialize(_both(current), "both")
         least = _least(both)
@@ -45,4 +45,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if same:
             heads = current.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
             return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(heads)
-    raise RuntimeError("components did not settle")

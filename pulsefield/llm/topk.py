@@ -2,13 +2,14 @@
 
 Queries and candidates meet in a grid of (query block, candidate block) cells, so a task
 holds one block of each whatever the sizes of the two sides. In a cell, each dimension
-is a term: its posting list is the candidates with a nonzero component, and every query
+is a term: its posting list, made once for the cell, is the candidates with a nonzero component, and every query
 row that has the term scatters weight times posting into its dense score array. A
 partition selection keeps k per query and cell, and a window merges the cells.
 
-Edge cases: vectors that are null, empty, or hold a null, NaN or infinite component take no
+Edge cases: vectors that are null or hold a null, NaN or infinite component take no
 part, nor do rows without an id. Vectors of different lengths are compared as if the
-shorter ended in zeros. Ties go to the smaller id. A query's own id is never its
+shorter ended in zeros, so an empty one scores 0 with all. Scores are exact: a cell whose products might leave 64 bits is summed in
+unbounded integers. A component of 2**62 / scale or more, or a best score beyond 64 bits, can't be given back and raises. Ties go to the smaller id. A query's own id is never its
 candidate, also when the id occurs in several rows; an id repeated among the queries
 yields its ranking once. Fewer than k candidates yield all. An empty table yields no rows.
 """
@@ -29,20 +30,26 @@ from pulsefield.llm.common import materialize, table
 def quantize(vector: Column, scale: int) -> Column:
     """Components as floor(scale * x), null if the vector can't take part."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    whole = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    return F.when(vector.isNotNull() & (F.size(vector) > 0) & ~bad, whole)
-
-
-def scatter_scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Dense scores of every query row, accumulated term by term from posting lists."""
-    scores = np.zeros((len(queries), len(candidates)), np.int64)
-    for term in range(min(queries.shape[1], candidates.shape[1])):
-        rows, posting = np.flatnonzero(queries[:, term]), np.flatnonzero(candidates[:, term])
-        weights, values = queries[rows, term][:, None], candidates[posting, term][None, :]
-        if len(rows) == len(queries) and len(posting) == len(candidates):
-            scores += weights * values
-        elif len(rows) and len(posting):
-            scores[np.ix_(rows, posting)] += weights * values
+    scaled = lambda x: F.lit(float(scale)) * x.cast("double")
+    whole = F.transform(vector, lambda x: F.when(F.abs(scaled(x)) < 2.0**62, F.floor(scaled(x))).otherwise(F.raise_error(F.lit("a component is too large for a whole-number score")).cast("long")))
+    return F.when(vector.isNotNull() & ~bad, whole)
+
+
+def postings(candidates: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per term the places of the candidates that have it, and their components."""
+    by_term = np.ascontiguousarray(candidates.T)
+    return [(at := np.flatnonzero(values), values[at]) for values in by_term]
+
+
+def scatter_scores(queries: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """Dense scores of every query row for n candidates, accumulated term by term from posting lists."""
+    scores = np.zeros((len(queries), n), queries.dtype)
+    for weights, (at, values) in zip(np.ascontiguousarray(queries.T), lists, strict=False):
+        rows = np.flatnonzero(weights)
+        if len(rows) == len(queries) and len(at) == n:
+            scores += weights[:, None] * values
+        elif len(rows) and len(at):
+            scores[np.ix_(rows, at)] += weights[rows, None] * values
     return scores
 
 
@@ -54,6 +61,10 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return out
 
 
+def _largest(x: np.ndarray) -> int:
+    return max(abs(int(x.min())), abs(int(x.max()))) if x.size else 0
+
+
 def exact_topk(
     vectors: DataFrame,
     is_query: Column,
@@ -85,19 +96,22 @@ def exact_topk(
             return empty
         queries = queries.drop_duplicates("id")
         candidates = candidates.sort_values("id", kind="stable")
-        ids, posts, asked = candidates["id"].to_numpy(), _matrix(candidates["v"]), queries["id"].to_numpy()
+        ids, held, asked = candidates["id"].to_numpy(), _matrix(candidates["v"]), queries["id"].to_numpy()
         q, out = _matrix(queries["v"]), []
+        if _largest(q) * _largest(held) * min(q.shape[1], held.shape[1]) >= 1 << 63:
+            q, held = q.astype(object), held.astype(object)
+        lists = postings(held)
         for at in range(0, len(q), tile):
-            for query, row in zip(asked[at : at + tile], scatter_scores(q[at : at + tile], posts), strict=True):
+            for query, row in zip(asked[at : at + tile], scatter_scores(q[at : at + tile], lists, len(ids)), strict=True):
                 others = np.flatnonzero(ids != query)
                 s = row[others]
                 if len(s) > k:
-                    least = np.partition(s, len(s) - k)[len(s) - k]
+                    least = (np.sort(s) if s.dtype == object else np.partition(s, len(s) - k))[len(s) - k]
                     above, ties = np.flatnonzero(s > least), np.flatnonzero(s == least)
                     keep = np.concatenate([above, ties[: k - len(above)]])  # ids ascend, so the first ties are the smallest
                 else:
                     keep = np.arange(len(s))
-                out.append((np.full(len(keep), query), ids[others[keep]], s[keep]))
+                out.append((np.full(len(keep), query), ids[others[keep]], s[keep].astype(np.int64)))  # raises beyond 64 bits
         if not out:
             return empty
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
@@ -115,11 +129,10 @@ OP10_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
-    CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+    CAST(coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s

@@ -6,8 +6,15 @@ smallest id; the others become revisit records that name it.
 
 Reader: an archive is dealt out as byte ranges. A task scans its range for the gzip magic, validates
 a candidate by decoding its start (a member must open with a WARC version line, so magic bytes
-inside compressed data don't count), and owns every record that starts inside its range, reading
-past the range's end where the last one needs it. Memory is bounded by the largest record.
+inside compressed data don't count), and owns every record of the members that start inside its range, reading
+past the range's end where the last one needs it. Memory is bounded by the largest member.
+
+Other writers' archives: a member may hold several records, field names have any case, ids any form (page_id and refers_to
+are null unless this sink made them; record_id and refers_to_id give them as they stand), records of other types and blocks that aren't HTTP
+have their whole block as payload, and a revisit without a payload length has null payload_bytes. Nothing is lost in silence: a
+member or record that ends early, bytes after a member that start no other, and a record without a length raise, naming the
+archive and offset; with strict=False such pieces are passed over. An archive inside a record that deflate stored unpacked can't be told from members of
+the outer one by a task that starts behind its head.
 
 Edge cases: a null html is an empty payload, a null url an empty target, a null id is kept as null. Payloads below
 the limit are always responses. Rows that repeat the smallest id of a group are all
@@ -26,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsefield.llm.common import shared_folder, table
+from pulsefield.llm.common import materialize, shared_folder, table
 from pulsefield.llm.files import reading, replacing
 
 MAGIC = b"\x1f\x8b\x08"
@@ -103,15 +110,19 @@ def write_warc(rows: DataFrame, folder: str, level: int = 6) -> DataFrame:
     return ready.mapInPandas(write, "path string, length long, records long")
 
 
-def _inflate(source, at: int, size: int, step: int) -> tuple[bytes, int] | None:
-    """The member at a file's offset and the offset after it; None if no WARC record starts there."""
+class Broken(ValueError):
+    """An archive that ends early or holds what is no record."""
+
+
+def _inflate(source, at: int, size: int, step: int) -> tuple[bytes, int, bool] | None:
+    """The member at a file's offset, the offset after it and whether it is whole; None if no WARC record starts there."""
     z, out, first, pos = zlib.decompressobj(31), [], True, at
     source.seek(at)
     try:
         while not z.eof:
             data = source.read(min(step, size - pos))
             if not data:
-                return None
+                break
             pos += len(data)
             piece = z.decompress(data)
             if first and piece:
@@ -120,18 +131,21 @@ def _inflate(source, at: int, size: int, step: int) -> tuple[bytes, int] | None:
                 first = len(piece) < 7
             out.append(piece)
     except zlib.error:
-        return None
+        whole = b"".join(out)
+        return (whole, at + len(MAGIC), False) if whole.startswith(b"WARC/1.") else None
     whole = b"".join(out)
-    return (whole, pos - len(z.unused_data)) if whole.startswith(b"WARC/1.") and CRLF * 2 in whole else None
+    return (whole, pos - len(z.unused_data), z.eof) if whole.startswith(b"WARC/1.") else None
 
 
-def members(source, start: int, end: int, size: int, step: int = 1 << 16) -> Iterator[bytes]:
-    """The records whose members start in [start, end) of an open archive of that size."""
-    at = start
+def members(source, start: int, end: int, size: int, step: int = 1 << 16, strict: bool = True) -> Iterator[bytes]:
+    """The members that start in [start, end) of an open archive of that size and open with a WARC record."""
+    at, chained = start, start == 0  # chained: a member must start at this offset
     while at < end:
         source.seek(at)
         window = source.read(min(step, size - at))
         hit = window.find(MAGIC)
+        if strict and chained and hit != 0 and size:
+            raise Broken(f"no member at offset {at}")
         if hit < 0 or at + hit >= end:
             if at + len(window) >= min(end + len(MAGIC), size) or len(window) < len(MAGIC):
                 return
@@ -139,39 +153,70 @@ def members(source, start: int, end: int, size: int, step: int = 1 << 16) -> Ite
             continue
         found = _inflate(source, at + hit, size, step)
         if found is None:
+            if strict and chained:
+                raise Broken(f"no WARC record in the member at offset {at}")
             at += hit + 1
+        elif not found[2]:
+            if strict:
+                raise Broken(f"the member at offset {at + hit} is damaged or ends early")
+            at, chained = at + hit + 1, False
         else:
             yield found[0]
-            at = found[1]
+            at, chained = found[1], True
+            if strict and end <= at < size:  # the next range can't tell
+                source.seek(at)
+                if source.read(len(MAGIC)) != MAGIC:
+                    raise Broken(f"no member at offset {at}")
 
 
 def _page_id(urn: str | None) -> str | None:
-    value = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-    return value if value not in ("", "null") else None
-
-
-def parse_record(data: bytes) -> dict:
-    """The fields of a record: type, ids, target and payload, None for a revisit."""
-    head, _, rest = data.partition(CRLF * 2)
-    fields = dict(x.split(": ", 1) for x in head.decode("utf-8").split("\r\n")[1:] if ": " in x)
-    block = rest[: int(fields["Content-Length"])]
-    revisit = fields["WARC-Type"] == "revisit"
-    payload = None if revisit else block.partition(CRLF * 2)[2]
+    found = re.fullmatch(r"<urn:page:(-?\d{1,19})>", urn or "")
+    return found[1] if found else None
+
+
+def records(member: bytes, strict: bool = True) -> Iterator[dict]:
+    """The records of a member: type, ids, target and payload, None for a revisit."""
+    at = 0
+    while member[at : at + 5] == b"WARC/":
+        stop = member.find(CRLF * 2, at)
+        lines = member[at : stop if stop >= 0 else len(member)].decode("utf-8", "replace").split("\r\n")[1:]
+        fields = {name.strip().lower(): value.strip() for name, sign, value in (x.partition(":") for x in lines) if sign}
+        length = fields.get("content-length", "")
+        if stop < 0 or not length.isdigit() or stop + 4 + int(length) > len(member):
+            if strict:
+                raise Broken("a record ends early or has no length")
+            return
+        block = member[stop + 4 : stop + 4 + int(length)]
+        at = stop + 4 + int(length)
+        while member[at : at + 2] == CRLF:
+            at += 2
+        yield _fields(fields, block)
+    if strict and member[at:].strip():
+        raise Broken("bytes after a record start no other")
+
+
+def _fields(fields: dict[str, str], block: bytes) -> dict:
+    kind = fields.get("warc-type", "").lower()
+    http = fields.get("content-type", "").lower().replace(" ", "").startswith("application/http") and CRLF * 2 in block
+    payload = None if kind == "revisit" else block.partition(CRLF * 2)[2] if http else block
+    stated, digest = fields.get("x-payload-length", ""), fields.get("warc-payload-digest", "")
     return {
-        "page_id": _page_id(fields["WARC-Record-ID"]),
-        "record_type": fields["WARC-Type"],
-        "target_uri": fields.get("WARC-Target-URI", ""),
+        "page_id": _page_id(fields.get("warc-record-id")),
+        "record_type": kind,
+        "target_uri": fields.get("warc-target-uri", ""),
         "payload": payload,
-        "payload_bytes": int(fields["X-Payload-Length"]) if revisit else len(payload),
-        "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha256:") if revisit else hashlib.sha256(payload).hexdigest(),
-        "refers_to": _page_id(fields.get("WARC-Refers-To")),
+        "payload_bytes": len(payload) if payload is not None else int(stated) if stated.isdigit() else None,
+        "payload_digest": hashlib.sha256(payload).hexdigest() if payload is not None else digest.removeprefix("sha256:") or None,
+        "refers_to": _page_id(fields.get("warc-refers-to")),
+        "record_id": fields.get("warc-record-id"),
+        "refers_to_id": fields.get("warc-refers-to"),
     }
 
 
-READ_SCHEMA = "page_id string, record_type string, target_uri string, payload binary, payload_bytes long, payload_digest string, refers_to string"
+READ_SCHEMA = "page_id string, record_type string, target_uri string, payload binary, payload_bytes string, payload_digest string, refers_to string, record_id string, refers_to_id string"
 
 
-def read_warc(archives: DataFrame, split_bytes: int = 8 << 20, with_payload: bool = True) -> DataFrame:
+def read_warc(archives: DataFrame, split_bytes: int = 8 << 20, with_payload: bool = True, strict: bool = True) -> DataFrame:
     """The records of archives, rows (path, length), read in byte ranges of split_bytes."""
     ranges = archives.where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
 
@@ -180,21 +225,25 @@ def read_warc(archives: DataFrame, split_bytes: int = 8 << 20, with_payload: boo
             for path, length, start in batch.itertuples(index=False):
                 rows, held = [], 0
                 with reading(path) as source:
-                    for data in members(source, start, min(start + split_bytes, length), length):
-                        row = parse_record(data)
-                        if not with_payload:
-                            row["payload"] = None
-                        rows.append(row)
-                        held += len(row["payload"] or b"") + 200
-                        if held > 4 << 20:
-                            yield pd.DataFrame(rows)
-                            rows, held = [], 0
+                    try:
+                        for data in members(source, start, min(start + split_bytes, length), length, strict=strict):
+                            for row in records(data, strict):
+                                if not with_payload:
+                                    row["payload"] = None
+                                row["payload_bytes"] = None if row["payload_bytes"] is None else str(row["payload_bytes"])
+                                rows.append(row)
+                                held += len(row["payload"] or b"") + 200
+                                if held > 4 << 20:
+                                    yield pd.DataFrame(rows)
+                                    rows, held = [], 0
+                    except Broken as e:
+                        raise Broken(f"{path}: {e}") from e
                 if rows:
                     yield pd.DataFrame(rows)
 
     tasks = max(1, archives.sparkSession.sparkContext.defaultParallelism)
     out = ranges.repartition(tasks * 2, "path", "start").mapInPandas(read, READ_SCHEMA)
-    return out.withColumns({"page_id": F.col("page_id").cast("long"), "refers_to": F.col("refers_to").cast("long")})
+    return out.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to", "payload_bytes")})
 
 
 def list_archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -204,8 +253,7 @@ def list_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_revisits(table(spark, sf_dir, "pages"), "page_id", "url", "html")
-    written = write_warc(rows, shared_folder(spark, "warc")).collect()  # one small row per archive
-    archives = spark.createDataFrame([(x.path, x.length) for x in written], "path string, length long")
+    archives = materialize(write_warc(rows, shared_folder(spark, "warc")), "archives")  # one small row per archive
     back = read_warc(archives, with_payload=False)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
 

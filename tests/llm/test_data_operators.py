@@ -48,6 +48,38 @@ def test_every_split_owns_each_record_once():
         assert found == records
 
 
+def _archive(spark, tmp_path, data):
+    path = tmp_path / "other.warc.gz"
+    path.write_bytes(data)
+    return spark.createDataFrame([(f"file://{path}", len(data))], "path string, length long")
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    info = b"WARC/1.0\r\nwarc-type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Type: application/warc-fields\r\ncontent-length: 9\r\n\r\nsoftware:\r\n\r\n"
+    again = b"WARC/1.0\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:uuid:3>\r\nWARC-Refers-To: <urn:uuid:2>\r\nWARC-Payload-Digest: sha1:ABC\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    body = b"HTTP/1.1 200\r\n\r\n<b>hi</b>"
+    page = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:2>\r\nContent-Type: application/http;msgtype=response\r\nCONTENT-LENGTH: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
+    data = gzip.compress(info + page) + gzip.compress(again)
+    got = {r.record_id: r for r in warc.read_warc(_archive(spark, tmp_path, data)).collect()}
+    assert set(got) == {"<urn:uuid:1>", "<urn:uuid:2>", "<urn:uuid:3>"} and all(r.page_id is None for r in got.values())
+    assert bytes(got["<urn:uuid:1>"].payload) == b"software:" and bytes(got["<urn:uuid:2>"].payload) == b"<b>hi</b>"
+    last = got["<urn:uuid:3>"]
+    assert (last.record_type, last.payload_bytes, last.payload_digest, last.refers_to_id, last.payload) == ("revisit", None, "sha1:ABC", "<urn:uuid:2>", None)
+
+
+@pytest.mark.parametrize("damage", ["cut", "gap", "junk", "length"])
+def test_nothing_is_lost_in_silence(spark, tmp_path, damage):
+    record = lambda i: b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: 600\r\n\r\n%s\r\n\r\n" % (i, random.Random(i).randbytes(600))
+    whole = [gzip.compress(record(i)) for i in range(4)]
+    data = {"cut": b"".join(whole)[:-90], "gap": whole[0] + b"\0" * 20 + b"".join(whole[1:]), "junk": b"junk" + b"".join(whole), "length": b"".join(whole) + gzip.compress(record(9)[:-300])}[damage]
+    archives = _archive(spark, tmp_path, data)
+    for split in (500, 8 << 20):
+        with pytest.raises(Exception, match="other.warc.gz"):
+            warc.read_warc(archives, split).collect()
+    kept = {r.page_id for r in warc.read_warc(archives, strict=False).collect()}
+    assert kept == ({0, 1, 2} if damage == "cut" else {0, 1, 2, 3})
+
+
 def test_mixing_meets_targets(spark):
     rows = documents()
     got = mixing.mix_sources(frame(spark, rows), bucket_rows=3).collect()
@@ -122,17 +154,28 @@ def test_topk_equals_brute_force(spark):
     df = spark.createDataFrame([(i, v, 1, "x", 2.0) for i, v in vectors], "vec_id long, embedding array<float>, rank int, score string, q double")
     q = {}
     for i, v in vectors:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
             q.setdefault(i, []).append(np.floor(1024 * np.array(v, np.float32).astype(float)).astype(np.int64))
     want = []
     for i in (x for x in q if x % 100 == 0):
-        scored = sorted((-int(q[i][0] @ v), j) for j, vs in q.items() for v in vs if j != i)[:10]
+        scored = sorted((-sum(int(x) * int(y) for x, y in zip(q[i][0], v)), j) for j, vs in q.items() for v in vs if j != i)[:10]
         want += [(i, n, j, -s) for n, (s, j) in enumerate(scored, 1)]
     got = topk.exact_topk(df, F.col("vec_id") % 100 == 0, query_block=2, candidate_block=50)
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert topk.exact_topk(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_topk_of_empty_and_large_vectors(spark):
+    best = lambda rows: sorted(map(tuple, topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, k=2).collect()))
+    assert best([(0, []), (100, [1.0]), (5, [-1.0]), (6, [])]) == [(0, 1, 5, 0), (0, 2, 6, 0), (100, 1, 0, 0), (100, 2, 6, 0)]
+    big = 2.0**40
+    # Partial sums leave 64 bits, the scores don't.
+    assert best([(0, [big, big, 1.0]), (1, [big, -big, 1.0]), (2, [0.0, 0.0, 2.0])]) == [(0, 1, 2, 2 << 20), (0, 2, 1, 1 << 20)]
+    for rows in ([(0, [1e300]), (1, [1.0])], [(0, [big]), (1, [big])]):
+        with pytest.raises(Exception, match="too large|OverflowError"):
+            best(rows)
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 501), (600, 600)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "u long, v long")).collect()))
