@@ -1,25 +1,29 @@
 """SimHash near-duplicate groups over a Gray-order hierarchical index.
 
-Fingerprints of 64 bits come from word shingles. Those that differ in at most ``radius`` bits agree on
-one of radius + 1 bit blocks, so the index has that many orders of the fingerprints: in each, the bits are rotated until another block leads,
-and the fingerprints are sorted by the Gray rank of the rotated bits. The leading block
-is the shared pattern of an upper node; below it, runs of neighbours in Gray order make
-nodes that keep the bits all members share (mask and pattern). Two nodes whose patterns differ in more
+Fingerprints of 64 bits come from word shingles. The bits are cut into radius + k blocks; fingerprints that differ in at most
+``radius`` bits agree on k of them, so the index has an order of the fingerprints for every choice of k blocks. The bits of those
+blocks are the shared masked pattern of an order's upper nodes. Below one, fingerprints are sorted by the Gray rank of their other bits, and runs of
+neighbours make nodes that keep the bits all members share (mask and pattern). Two nodes whose patterns differ in more
 than ``radius`` of the bits both share are pruned as whole groups; the difference grows as
 bits are added from level to level, and only leaves that survive compare their members.
 
-Work is on distinct fingerprints. Upper nodes with more than ``segment`` members are dealt out in
-segments, a task for each pair of segments, so no task holds a large node. A task
+k is the least that leaves NODE_ROWS distinct fingerprints or fewer to an upper node on average: with radius 4 there are 5 orders of 12 bits up to a
+million, 15 of 21 bits up to 500 million, then 35 of 27 and 70 of 32, so the work for a fingerprint doesn't grow with the corpus.
+
+Work is on distinct fingerprints. Upper nodes with more than ``segment`` members, around large groups of near copies, are cut into
+segments at quantiles of the Gray rank; pairs of segments that share too few bits are pruned before any row is sent, and each other pair is a task of
+its own, so no task holds a large node. A task
 reports a spanning forest of the links it finds, not the pairs; components are then joined over the forest,
 which loses no link between groups.
 
 Edge cases: null and blank texts have fingerprint zero and link like any other; fewer words than a shingle make one shingle of
-the whole sequence. Repeated rows are documents of their own. A null id is never the least; a component
+the whole sequence. Repeated rows are documents of their own. Ids of any type that has an order are kept. A null id is never the least; a component
 of null ids only has a null component id. An empty table yields no rows.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +38,10 @@ from pulsefield.llm.components import connected_components
 BITS = 64
 #: Members of a node of the lower levels, and how many nodes an upper one joins.
 FANOUT = 16
+#: Distinct fingerprints that an upper node should hold on average.
+NODE_ROWS = 256
+#: Quantiles at which a crowded node is cut.
+CUTS = 64
 
 
 def simhash(text: str | None, width: int = 4, seed: int = 42) -> int:
@@ -64,7 +72,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fingerprint": found})
 
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id string, fingerprint long").withColumn("doc_id", F.col("doc_id").cast("long"))
+    kind = docs.select(id_col).schema[0].dataType
+    return rows.mapInPandas(run, "doc_id string, fingerprint long").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def gray_rank(bits: Column) -> Column:
@@ -74,20 +83,27 @@ def gray_rank(bits: Column) -> Column:
     return bits.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def blocks(n: int) -> list[tuple[int, int]]:
-    """(offset from the top, width) of n bit blocks of nearly equal width."""
+def masks(radius: int, leading: int) -> list[int]:
+    """The bits that lead in each order: every choice of ``leading`` of radius + leading blocks of nearly equal width."""
+    n = radius + leading
     edges = [BITS * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    blocks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(chosen) for chosen in itertools.combinations(blocks, leading)]
+
+
+def leading_blocks(n: int, radius: int, most: int = 4) -> int:
+    """How many blocks lead for n distinct fingerprints."""
+    fits = (k for k in range(1, most) if n <= NODE_ROWS << min(m.bit_count() for m in masks(radius, k)))
+    return next(fits, most)
 
 
-def index_orders(nodes: DataFrame, n_orders: int) -> DataFrame:
-    """fingerprint, order, head (the leading block) and rank for each of the index's orders."""
-    fp, made = F.col("fingerprint"), []
-    for j, (offset, width) in enumerate(blocks(n_orders)):
-        rotated = fp if offset == 0 else F.shiftleft(fp, offset).bitwiseOR(F.shiftrightunsigned(fp, BITS - offset))
-        head = F.shiftrightunsigned(rotated, BITS - width).cast("int")
-        made.append(F.struct(F.lit(j).alias("order"), head.alias("head"), gray_rank(rotated).alias("rank")))
-    return nodes.select("fingerprint", F.explode(F.array(*made)).alias("o")).select("fingerprint", "o.*")
+def index_orders(nodes: DataFrame, radius: int, leading: int) -> DataFrame:
+    """fingerprint, order, head (the leading blocks) and rank (Gray rank of the other bits) for each of the index's orders."""
+    signed = lambda m: m - (1 << BITS) if m >> (BITS - 1) else m
+    orders = F.array(*[F.struct(F.lit(j).alias("order"), F.lit(signed(m)).cast("long").alias("mask")) for j, m in enumerate(masks(radius, leading))])
+    fp = F.col("fingerprint")
+    placed = nodes.select("fingerprint", F.explode(orders).alias("o"))
+    return placed.select("fingerprint", "o.order", fp.bitwiseAND(F.col("o.mask")).alias("head"), gray_rank(fp.bitwiseAND(F.bitwise_not("o.mask"))).alias("rank"))
 
 
 class GrayIndex:
@@ -173,17 +189,37 @@ def _cross_links(left: np.ndarray, right: np.ndarray, radius: int) -> list[tuple
     return [(x, y) for a, b in GrayIndex(left).near(GrayIndex(right), radius) for x, y in zip(a.tolist(), b.tolist(), strict=True) if forest.join(x, len(left) + y)]
 
 
-def near_links(nodes: DataFrame, radius: int = 4, segment: int = 2048, broadcast_rows: int = 200_000) -> DataFrame:
+def _segments(placed: DataFrame, radius: int, segment: int, broadcast_rows: int) -> DataFrame:
+    """placed with s, t and mine: a row goes, from its own segment, to each pair (s, t) of segments of its node that isn't pruned."""
+    node = ["order", "head"]
+    hinted = lambda df: F.broadcast(df) if small_enough(df, broadcast_rows) else df
+    large = materialize(placed.groupBy(*node).count().where(F.col("count") > segment).select(*node, F.ceil(F.col("count") / segment).cast("int").alias("n")), "large")
+    if large.isEmpty():
+        release(large)
+        return placed.withColumns({c: F.lit(0) for c in ("s", "t", "mine")})
+    # Segments follow quantiles of the Gray rank; where a node needs more than CUTS, a hash divides them further.
+    ranks = F.percentile_approx("rank", [i / CUTS for i in range(1, CUTS)], 2000)
+    cuts = materialize(placed.join(hinted(large), node).groupBy(*node, "n").agg(ranks.alias("cuts")), "cuts")
+    known = placed.join(hinted(cuts), node, "left")
+    coarse = F.floor(F.size(F.filter("cuts", lambda c: c < F.col("rank"))) * F.least("n", F.lit(CUTS)) / CUTS)
+    fine = F.ceil(F.col("n") / CUTS)
+    mine = (coarse * fine + F.pmod(F.xxhash64("fingerprint"), fine)).cast("int")
+    known = known.select(*placed.columns, F.coalesce(mine, F.lit(0)).alias("mine"), F.col("n").isNotNull().alias("cut"))
+    parts = known.where("cut").groupBy(*node, "mine").agg(F.bit_and("fingerprint").alias("ones"), F.bit_or("fingerprint").alias("some"))
+    a, b = (materialize(parts, "parts").select(*node, *[F.col(c).alias(c + x) for c in ("mine", "ones", "some")]) for x in "st")
+    shared = F.bitwise_not(F.col("oness").bitwiseXOR(F.col("somes")).bitwiseOR(F.col("onest").bitwiseXOR(F.col("somet"))))
+    near = F.bit_count(F.col("oness").bitwiseXOR(F.col("onest")).bitwiseAND(shared)) <= radius
+    pairs = a.join(b, node).where((F.col("mines") <= F.col("minet")) & near).select(*node, F.col("mines").alias("s"), F.col("minet").alias("t"))
+    sent = materialize(pairs.select(*node, "s", "t", F.explode(F.array_distinct(F.array("s", "t"))).alias("mine")), "segmentpairs")
+    met = known.join(hinted(sent), [*node, "mine"], "left")
+    return met.select(*placed.columns, "mine", F.coalesce("s", F.lit(0)).alias("s"), F.coalesce("t", F.lit(0)).alias("t"))
+
+
+def near_links(nodes: DataFrame, radius: int = 4, segment: int = 2048, broadcast_rows: int = 200_000, leading: int | None = None) -> DataFrame:
     """A spanning forest (u, v), repeats possible, of the links between distinct fingerprints."""
-    placed = index_orders(nodes, radius + 1)
-    large = materialize(placed.groupBy("order", "head").count().where(F.col("count") > segment).select("order", "head", F.ceil(F.col("count") / segment).cast("int").alias("n")), "large")
-    hint = F.broadcast(large) if small_enough(large, broadcast_rows) else large
-    dealt = placed.join(hint, ["order", "head"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    mine = F.pmod(F.xxhash64("fingerprint"), F.col("n")).cast("int")
-    # A row goes to the pairs of its segment with each segment of its node.
-    dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("order", "head", F.least("mine", "other").alias("s"), F.greatest("mine", "other").alias("t"), "mine", "rank", "fingerprint")
+    placed = index_orders(nodes, radius, leading or leading_blocks(nodes.count(), radius))
     keys = ["order", "head", "s", "t"]
+    dealt = _segments(placed, radius, segment, broadcast_rows).select(*keys, "mine", "rank", "fingerprint")
     sorted_rows = dealt.repartition(*keys).sortWithinPartitions(*keys, "mine", "rank")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,18 +236,16 @@ def near_links(nodes: DataFrame, radius: int = 4, segment: int = 2048, broadcast
 
     def find(batch: pd.DataFrame, starts: list[int], ends: list[int]) -> pd.DataFrame:
         bits, out = batch["fingerprint"].to_numpy(), []
-        s, t, mine, order = (batch[c].to_numpy() for c in ("s", "t", "mine", "order"))
+        s, t, mine = (batch[c].to_numpy() for c in ("s", "t", "mine"))
         for a, b in zip(starts, ends, strict=True):
             if b - a < 2:
                 continue
-            offset = blocks(radius + 1)[order[a]][0]
             own = bits[a:b].view(np.uint64)
-            turned = (own << np.uint64(offset)) | (own >> np.uint64(BITS - offset)) if offset else own
             if s[a] == t[a]:
-                out += [(bits[a + x], bits[a + y]) for x, y in _links(turned, radius)]
+                out += [(bits[a + x], bits[a + y]) for x, y in _links(own, radius)]
             else:
                 m = int(np.count_nonzero(mine[a:b] == s[a]))
-                out += [(bits[a + x], bits[a + m + y]) for x, y in _cross_links(turned[:m], turned[m:], radius) if 0 < m < b - a]
+                out += [(bits[a + x], bits[a + m + y]) for x, y in _cross_links(own[:m], own[m:], radius) if 0 < m < b - a]
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     return sorted_rows.mapInPandas(run, "u long, v long")
@@ -225,8 +259,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     grouped = nodes.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     labelled = materialize(grouped, "labelled")
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = materialize(labelled.join(materialize(least, "least"), "component").select("fingerprint", "component_id"), "ids")
-    release(nodes, labelled)
+    least = materialize(least, "least")
+    ids = materialize(labelled.join(least, "component").select("fingerprint", "component_id"), "ids")
+    release(nodes, labelled, least)
     return marked.join(ids, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 

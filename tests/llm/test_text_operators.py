@@ -124,13 +124,13 @@ def test_near_duplicates_equal_brute_force(spark):
     assert len({c for _, _, c in want}) < len(rows) - 25
 
 
-@pytest.mark.parametrize("segment", [7, 2048])
-def test_links_lose_none_in_crowded_nodes(spark, segment):
+@pytest.mark.parametrize("segment,leading", [(7, 1), (2048, None), (1, 2), (5, 3), (2048, 4)])
+def test_links_lose_none_in_crowded_nodes(spark, segment, leading):
     rng = random.Random(11)
     center = rng.getrandbits(64)
     prints = sorted({center ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(9))) for _ in range(150)} | {rng.getrandbits(64) for _ in range(50)})
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
-    links = simhash.near_links(spark.createDataFrame(signed, "fingerprint long"), 4, segment=segment).collect()
+    links = simhash.near_links(spark.createDataFrame(signed, "fingerprint long"), 4, segment=segment, leading=leading).collect()
     forest = {p[0]: p[0] for p in signed}
 
     def find(x):
@@ -146,6 +146,16 @@ def test_links_lose_none_in_crowded_nodes(spark, segment):
     assert len({*zip(want, mine, strict=True)}) == len(set(want)) == len(set(mine))
 
 
+def test_orders_grow_with_the_fingerprints():
+    assert [simhash.leading_blocks(n, 4) for n in (0, 10**6, 10**7, 10**9, 10**10, 10**15)] == [1, 1, 2, 3, 3, 4]
+    assert [len(simhash.masks(4, k)) for k in (1, 2, 3, 4)] == [5, 15, 35, 70]
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([("b", "same words here"), ("a", "same words here"), (None, "other")], "doc_id string, text string")
+    assert {(r.doc_id, r.component_id) for r in simhash.near_duplicate_groups(docs).collect()} == {("b", "a"), ("a", "a"), (None, None)}
+
+
 def tokens(text):
     return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
 
@@ -178,6 +188,28 @@ def test_contamination_equals_brute_force(spark):
     assert decontaminate.contaminations(frame(spark, []), bench).count() == 0
 
 
+def test_contamination_recall_at_the_threshold(spark):
+    # Windows of 60 words with two words changed: similarities from 0.69 to 0.9, most near 0.8.
+    rng = random.Random(12)
+    items, rows = [prose(rng, 60, 4000) for _ in range(40)], []
+    for i, item in enumerate(items):
+        for j in range(12):
+            w = item.split()
+            for at in rng.sample(range(60), rng.choice([1, 1, 2])):
+                w[at] = f"new{rng.randrange(10**6)}"
+            rows.append((i * 100 + j, f"{prose(rng, 15, 4000)} {' '.join(w)} {prose(rng, 15, 4000)}", "a"))
+    want = set()
+    for doc_id, text, _ in rows:
+        w, t = tokens(text), tokens(items[doc_id // 100])
+        whole = {tuple(t[k : k + 5]) for k in range(56)}
+        best = max(len(whole & (own := {tuple(w[s + k : s + k + 5]) for k in range(56)})) / len(whole | own) for s in range(len(w) - 59))
+        if best >= 0.8:
+            want.add((doc_id, doc_id // 100))
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminations(frame(spark, rows), bench).collect()}
+    assert got <= want and len(want) > 250 and len(got) >= 0.99 * len(want)
+
+
 def labelled(rng, n):
     """Texts whose severity grows with the number of insults."""
     rows = []
