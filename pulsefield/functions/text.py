@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Texts that mean "nothing", in lower case.
 NULL_WORDS = ("", "null", "none", "nil", "n/a", "na")
+#: The clinic sources use "na" as a value.
+CLINIC_NULL_WORDS = ("", "null", "none", "nil", "n/a")
 TRUE_WORDS = ("1", "true", "t", "yes", "y")
 FALSE_WORDS = ("0", "false", "f", "no", "n")
 #: Course states by their spellings.
@@ -106,10 +108,17 @@ def key_variants(c: Column) -> Column:
     return F.array_distinct(F.array(t, F.regexp_replace(t, "[-_ ]", ""), F.regexp_replace(t, "[- ]", "_"), F.regexp_replace(t, "[_ ]", "-"), F.regexp_replace(t, "[^a-z0-9]", "")))
 
 
-def parse_datetime(c: Column) -> Column:
-    """The formats sources use, tried in turn; null if none fits."""
-    t = F.replace(clean_text(c), F.lit("T"), F.lit(" "))
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "dd-MM-yyyy")])
+#: The formats that sources use, then the forms of ISO 8601: dates by day, week or without signs, times of hours, minutes or seconds.
+DATETIME_FORMATS = ("yyyy-MM-dd HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
+ISO_FORMATS = tuple(f"{d}{t}" for d in ("yyyy-MM-dd", "yyyyMMdd") for t in (" HH:mm:ss.SSS", " HH:mm:ss.SSSXXX", " HH:mm", " HH:mmXXX", " HH", " HHXXX", " HHmmss", " HHmm", "")) + ("yyyyMMdd HH:mm:ss", "yyyyMMdd HH:mm:ssXXX")
+
+
+def parse_datetime(c: Column, day_first: bool = True) -> Column:
+    """The formats sources use, tried in turn, then other forms of ISO 8601; null if none fits. day_first: dd-MM-yyyy as well."""
+    t = F.replace(F.replace(clean_text(c), F.lit("T"), F.lit(" ")), F.lit("Z"), F.lit("+00:00"))
+    known = DATETIME_FORMATS + (("dd-MM-yyyy",) if day_first else ())
+    tried = lambda formats: [F.try_to_timestamp(t, F.lit(f)) for f in formats]
+    return F.coalesce(*tried(known), F.when(t.rlike("^[0-9]{4}-?[0-9]{2}-?[0-9]{2}"), F.coalesce(*tried(ISO_FORMATS))))
 
 
 def iso_date(c: Column) -> Column:
@@ -134,14 +143,14 @@ def row_hash(*columns: Column) -> Column:
 
 
 def course_state(c: Column) -> Column:
-    t = F.lower(F.trim(F.regexp_replace(clean_text(c, NULL_WORDS[:5]), "[_-]", " ")))
+    t = F.lower(F.trim(F.regexp_replace(clean_text(c, CLINIC_NULL_WORDS), "[_-]", " ")))
     spelled = F.create_map(*[F.lit(x) for pair in COURSE_STATES.items() for x in pair])
     return F.when(t.isNotNull(), F.try_element_at(spelled, t))
 
 
 def metric_flags(event: Column, action: Column) -> Column:
     """A struct of what a metric event means: reminder, patient_education, doctor_education."""
-    e, a = (F.lower(F.coalesce(clean_text(c, NULL_WORDS[:5]), F.lit(""))) for c in (event, action))
+    e, a = (F.lower(F.coalesce(clean_text(c, CLINIC_NULL_WORDS), F.lit(""))) for c in (event, action))
     return F.struct((a == "reminder_sent").alias("reminder"), (a == "patient_edu").alias("patient_education"), ((e == "doctor_edu_click") | (a == "doctor_video_click")).alias("doctor_education"))
 
 
@@ -211,3 +220,27 @@ def monday(d: Column) -> Column:
 def anchored_week(d: Column, start: Column) -> Column:
     """The number, from 1, of the seven-day week after a start date."""
     return (F.floor(F.datediff(d, start) / 7) + 1).cast("int")
+
+
+def format_number(c: Column) -> Column:
+    """Grouped thousands; one decimal unless the number is whole. Text that is no number counts as 0."""
+    n = as_float(c)
+    return F.when(n == F.floor(n), F.format_number(n, 0)).otherwise(F.format_number(n, 1))
+
+
+def format_percent(c: Column) -> Column:
+    return F.concat(F.format_string("%.1f", as_float(c)), F.lit("%"))
+
+
+def pretty_date(c: Column) -> Column:
+    """Jan 05, 2024 for a date or time; text that is neither as it is, nothing as an empty text."""
+    t = F.coalesce(F.trim(c.cast("string")), F.lit(""))
+    day = F.to_date(F.try_to_timestamp(F.substring(t, 1, 10), F.lit("yyyy-MM-dd")))
+    rest = F.substring(t, 11, 9)
+    return F.when(rest.rlike("^$|^[T ][0-9]{2}:[0-9]{2}:[0-9]{2}$"), F.coalesce(F.date_format(day, "MMM dd, yyyy"), t)).otherwise(t)
+
+
+def reporting_window(start: Column, end: Column) -> Column:
+    a, b = pretty_date(start), pretty_date(end)
+    both = F.when((a != "") & (b != ""), F.concat(a, F.lit(" to "), b))
+    return F.coalesce(both, F.nullif(a, F.lit("")), F.nullif(b, F.lit("")), F.lit("No dated activity yet"))

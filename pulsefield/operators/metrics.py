@@ -65,20 +65,32 @@ def nearest_rank(values: Column, share: float) -> Column:
     return F.get(F.sort_array(values), F.bround((F.size(values) - 1) * F.lit(share), 0).cast("int"))
 
 
-def rolling_activity(daily: DataFrame, who: str, first: Column, last: Column, days: int = 15, active_from: int = 3) -> DataFrame:
-    """A row per person and day with the events of the last ``days`` days and the last active day.
+def rolling_activity(daily: DataFrame, people: DataFrame, who: str, first: Column, last: Column, days: int = 15, active_from: int = 3) -> DataFrame:
+    """A row per person and day of [first, last] with the events of the last ``days`` days and the last active day.
 
-    daily has one row (who, d, n) per active day. The dense spine is made per person from two dates, and the sums run over
-    one sort; only the requested range is emitted.
+    daily has one row (who, d, n) per active day, people a row (who) per person; those without events are inactive. Of the time before
+    the range only the days that its first window reaches and each person's last active day before those are carried along. Days and
+    events of a person meet in one shuffle and one sort.
     """
-    spine = daily.select(who).distinct().withColumn("d", F.explode(F.sequence(first, last, F.expr("interval 1 day"))))
-    dense = spine.join(daily, [who, "d"], "left").fillna(0, ["n"])
-    number = F.datediff("d", F.lit("1970-01-01"))
-    w = Window.partitionBy(who).orderBy(number)
+    reach = F.date_sub(first, days - 1)
+    near = daily.where((F.col("d") >= reach) & (F.col("d") <= last)).select(who, "d", "n")
+    early = daily.where(F.col("d") < reach).groupBy(who).agg(F.max("d").alias("d")).select(who, "d", F.lit(1).cast("long").alias("n"))
+    spine = people.select(who).distinct().select(who, F.explode(F.sequence(first, last, F.expr("interval 1 day"))).alias("d"))
+    every = spine.select(who, "d", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))
+    for events in (near, early):
+        every = every.unionByName(events.withColumn("n", F.col("n").cast("long")).withColumn("asked", F.lit(False)))
+    dense = every.groupBy(who, "d").agg(F.sum("n").alias("n"), F.bool_or("asked").alias("asked"))
+    w = Window.partitionBy(who).orderBy(F.datediff("d", F.lit("1970-01-01")))
     total = F.sum("n").over(w.rangeBetween(-(days - 1), 0))
     last_active = F.max(F.when(F.col("n") > 0, F.col("d"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     status = F.when(F.col("rolling") >= active_from, "active").when(F.col("rolling") == 0, "inactive").otherwise("low")
-    return dense.withColumn("rolling", total).withColumn("last_active", last_active).withColumn("status", status).drop("n")
+    return dense.withColumn("rolling", total).withColumn("last_active", last_active).where("asked").withColumn("status", status).drop("n", "asked")
+
+
+def one_row(parts: list[DataFrame]) -> DataFrame:
+    """Frames of one row each side by side: their union, of which each column has one value that isn't null."""
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return every.agg(*[F.max(c).alias(c) for c in every.columns])
 
 
 def window_counts(facts: DataFrame, d: str, as_of: Column, who: str) -> DataFrame:

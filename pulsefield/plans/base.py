@@ -77,12 +77,12 @@ def doctors(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     return c.join(n, c.c_nationkey == n.n_nationkey).select(
         key.alias("doctor"), F.col("c_name").alias("name"), F.col("n_name").alias("state"), F.concat(F.lit("R"), (key % 7).cast("string")).alias("rep"), F.col("c_mktsegment").alias("segment"),
-        F.col("c_acctbal").alias("balance"), F.concat(F.lit("+91 98765-"), F.lpad((key % 500).cast("string"), 5, "0")).alias("phone"), F.concat(F.lit("Doc"), (key % 600).cast("string"), F.lit("@Mail.example")).alias("email"),
+        F.col("c_acctbal").alias("balance"), F.concat(F.lit("+91 9-"), F.lpad(F.expr("c_custkey div 3").cast("string"), 9, "0")).alias("phone"), F.concat(F.lit("Doc"), F.expr("c_custkey div 2").cast("string"), F.lit("@Mail.example")).alias("email"),
     )
 
 
 DOC = """doc AS (
   SELECT c_custkey AS doctor, c_name AS name, n_name AS state, 'R' || (c_custkey % 7) AS rep, c_mktsegment AS segment, c_acctbal AS balance,
-    '+91 98765-' || lpad(CAST(c_custkey % 500 AS VARCHAR), 5, '0') AS phone, 'Doc' || (c_custkey % 600) || '@Mail.example' AS email
+    '+91 9-' || lpad(CAST(c_custkey // 3 AS VARCHAR), 9, '0') AS phone, 'Doc' || (c_custkey // 2) || '@Mail.example' AS email
   FROM customer JOIN nation ON c_nationkey = n_nationkey
 )"""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pulsefield.plans import base, dimensions, facts, kpis, people, records, reports
+from pulsefield.plans import base, clinics, dimensions, facts, kpis, people, records, reports
 
-MODULES = (kpis, people, records, dimensions, reports, facts)
+MODULES = (kpis, people, records, dimensions, reports, facts, clinics)
 
 
 def queries() -> dict:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsefield.functions.text import clean_text, first_non_empty, identifier, joined_hash
+from pulsefield.functions.text import clean_text, email_loose, first_non_empty, identifier, joined_hash
 from pulsefield.operators import matching as J
 from pulsefield.operators.metrics import Window
 from pulsefield.operators.rows import latest_by
@@ -65,15 +65,15 @@ def assignment_dim(spark, sf_dir):
     return doctors(spark, sf_dir).groupBy(F.concat(F.lit("C"), (F.col("doctor") % 3).cast("string")).alias("campaign"), "rep").agg(F.min("doctor").alias("first_doctor"), F.count("*").alias("doctors"))
 
 
-@query("""WITH b AS (SELECT p_partkey AS local_id, p_brand AS brand FROM part WHERE p_partkey < 20), n AS (SELECT lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS norm, min(p_brand) AS brand FROM part WHERE p_partkey < 40 GROUP BY 1),
-  r AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_custkey % 40 AS VARCHAR) WHEN 1 THEN 'brand-' || (o_custkey % 60) WHEN 2 THEN md5(CAST(o_custkey AS VARCHAR)) ELSE 'x' END AS raw FROM orders)
+@query("""WITH b AS (SELECT p_partkey AS local_id, p_brand AS brand FROM part), n AS (SELECT lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS norm, min(p_brand) AS brand FROM part GROUP BY 1),
+  r AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_custkey AS VARCHAR) WHEN 1 THEN 'brand-' || (o_custkey % 60) WHEN 2 THEN md5(CAST(o_custkey AS VARCHAR)) ELSE 'x' END AS raw FROM orders)
   SELECT id, coalesce(b.brand, n.brand, CASE WHEN length(regexp_replace(raw, '[^A-Za-z0-9]', '', 'g')) >= 24 THEN raw END, '') AS campaign FROM r LEFT JOIN b ON CAST(b.local_id AS VARCHAR) = raw LEFT JOIN n ON n.norm = lower(regexp_replace(raw, '[^A-Za-z0-9]', '', 'g'))""")
 def campaign_id_resolution(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    local = p.where("p_partkey < 20").select(F.col("p_partkey").cast("string").alias("raw"), F.col("p_brand").alias("by_id"))
-    norm = p.where("p_partkey < 40").groupBy(identifier(F.col("p_brand")).alias("norm")).agg(F.min("p_brand").alias("by_name"))
+    local = p.select(F.col("p_partkey").cast("string").alias("raw"), F.col("p_brand").alias("by_id"))
+    norm = p.groupBy(identifier(F.col("p_brand")).alias("norm")).agg(F.min("p_brand").alias("by_name"))
     k, c = F.col("o_orderkey") % 4, F.col("o_custkey")
-    raw = F.when(k == 0, (c % 40).cast("string")).when(k == 1, F.concat(F.lit("brand-"), (c % 60).cast("string"))).when(k == 2, F.md5(c.cast("string"))).otherwise("x")
+    raw = F.when(k == 0, c.cast("string")).when(k == 1, F.concat(F.lit("brand-"), (c % 60).cast("string"))).when(k == 2, F.md5(c.cast("string"))).otherwise("x")
     r = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), raw.alias("raw")).withColumn("norm", identifier(F.col("raw")))
     return r.join(local, "raw", "left").join(norm, "norm", "left").select("id", F.coalesce("by_id", "by_name", F.when(F.length("norm") >= 24, F.col("raw")), F.lit("")).alias("campaign"))
 
@@ -179,11 +179,33 @@ def direct_banner_events(spark, sf_dir):
     return clicks.join(ids, F.col("k") == F.col("banner"), "left").select("event_id", F.coalesce(own, "by_banner").alias("campaign"), "d").where("campaign is not null")
 
 
-@query(f"""WITH {ACT}, {DOC}, a AS (SELECT event_id, rep, 0 AS rank FROM act JOIN doc ON act.doctor = doc.doctor WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 'R' || (k % 7), 1 FROM act WHERE k % 2 = 0 UNION ALL SELECT event_id, 'R' || (event_id % 5), 2 FROM act WHERE event_id % 4 = 0) SELECT act.event_id, (SELECT rep FROM a WHERE a.event_id = act.event_id ORDER BY rank LIMIT 1) AS rep FROM act""")
+#: Events name their rep by the head of a transaction id, an e-mail address or an id, or not at all.
+REP_EVENTS = ACT + """, raw AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Supplier#' || lpad(CAST(doctor AS VARCHAR), 9, '0') || '-' || event_id END AS tx, CASE WHEN k % 2 = 0 THEN ' S' || doctor || '@Mail.example' END AS email,
+    CASE WHEN event_id % 4 = 0 THEN CAST(k AS VARCHAR) END AS code, CASE WHEN event_id % 7 = 0 THEN event_id - 1 END AS linked FROM act),
+dir AS (SELECT s_suppkey AS rep, s_name AS name, 's' || s_suppkey || '@mail.example' AS email, CAST(s_suppkey AS VARCHAR) AS code FROM supplier)"""
+
+
+@query(f"""WITH {REP_EVENTS}, own AS (SELECT event_id, linked, coalesce((SELECT min(rep) FROM dir WHERE dir.name = split_part(tx, '-', 1)), (SELECT min(rep) FROM dir WHERE dir.email = lower(trim(raw.email))), (SELECT min(rep) FROM dir WHERE dir.code = raw.code)) AS rep FROM raw)
+  SELECT a.event_id, coalesce(a.rep, b.rep) AS rep, CASE WHEN a.rep IS NULL AND b.rep IS NOT NULL THEN 'linked' WHEN a.rep IS NOT NULL THEN 'own' ELSE 'none' END AS via FROM own a LEFT JOIN own b ON b.event_id = a.linked""")
 def event_rep_lookup(spark, sf_dir):
-    a = activity(spark, sf_dir).join(doctors(spark, sf_dir).select("doctor", F.col("rep").alias("own")), "doctor", "left")
-    rep = lambda c, n: F.concat(F.lit("R"), (c % n).cast("string"))
-    return a.select("event_id", F.coalesce(F.when(F.col("event_id") % 3 == 0, F.col("own")), F.when(F.col("k") % 2 == 0, rep(F.col("k"), 7)), F.when(F.col("event_id") % 4 == 0, rep(F.col("event_id"), 5))).alias("rep"))
+    """Three ranked lookups in the directory of reps, then the rep of the event that this one is linked to."""
+    a, e = activity(spark, sf_dir), F.col("event_id")
+    own = lambda cond, value: F.when(cond, value)
+    raw = a.select(
+        e,
+        own(e % 3 == 0, F.concat(F.lit("Supplier#"), F.lpad(F.col("doctor").cast("string"), 9, "0"), F.lit("-"), e.cast("string"))).alias("tx"),
+        own(F.col("k") % 2 == 0, F.concat(F.lit(" S"), F.col("doctor").cast("string"), F.lit("@Mail.example"))).alias("email"),
+        own(e % 4 == 0, F.col("k").cast("string")).alias("code"),
+        own(e % 7 == 0, e - 1).alias("linked"),
+    ).select("event_id", "linked", F.split_part("tx", F.lit("-"), F.lit(1)).alias("head"), email_loose(F.col("email")).alias("email"), "code")
+    s = table(spark, sf_dir, "supplier")
+    lookup = lambda key: s.groupBy(key.alias("key")).agg(F.min("s_suppkey").alias("rep"))
+    email = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit("@mail.example"))
+    steps = [("head", lookup(F.col("s_name")), "head"), ("email", lookup(email), "email"), ("code", lookup(F.col("s_suppkey").cast("string")), "code")]
+    found = J.match_cascade(raw, steps, "rep").select("event_id", "linked", "rep")
+    linked = found.select(F.col("event_id").alias("linked"), F.col("rep").alias("other"))
+    via = F.when(F.col("rep").isNotNull(), "own").when(F.col("other").isNotNull(), "linked").otherwise("none")
+    return found.join(linked, "linked", "left").select("event_id", F.coalesce("rep", "other").alias("rep"), via.alias("via"))
 
 
 @query(f"WITH {ACT}, {DOC}, asg AS (SELECT DISTINCT 'C' || doctor % 3 AS campaign, rep FROM doc WHERE rep IN ('R1', 'R3')) SELECT event_id FROM act JOIN doc ON act.doctor = doc.doctor WHERE EXISTS (SELECT 1 FROM asg WHERE asg.campaign = act.campaign AND asg.rep = doc.rep)")

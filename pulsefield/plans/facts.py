@@ -96,9 +96,9 @@ def share_quality(spark, sf_dir):
     return s.join(d, "doctor", "left").select("event_id", F.coalesce("rep", F.lit("Unassigned")).alias("rep"), saturday(F.col("d")).alias("week_end"), F.col("known").isNull().alias("doctor_missing"), (F.col("collateral").isNull() | (F.col("k") > 95)).alias("content_suspect"), "same_day_repeat")
 
 
-@query(f"""WITH {kpis.ROLLING} SELECT campaign, count(DISTINCT act.doctor) AS doctors, count(DISTINCT act.doctor) FILTER (WHERE s.status = 'active') AS active, count(*) FILTER (WHERE event_type = 'view') AS screenings, count(*) FILTER (WHERE event_type = 'error') AS flags, count(DISTINCT act.d) AS days FROM act LEFT JOIN (SELECT doctor, status FROM status WHERE d = DATE '2024-01-31') s ON s.doctor = act.doctor GROUP BY campaign""")
+@query(f"""WITH {kpis.ROLLING} SELECT campaign, count(DISTINCT act.doctor) AS doctors, count(DISTINCT act.doctor) FILTER (WHERE s.status = 'active') AS active, count(*) FILTER (WHERE event_type = 'view') AS screenings, count(*) FILTER (WHERE event_type = 'error') AS flags, count(DISTINCT act.d) AS days FROM act LEFT JOIN (SELECT doctor, status FROM status WHERE d = DATE '2024-01-20') s ON s.doctor = act.doctor GROUP BY campaign""")
 def campaign_snapshot(spark, sf_dir):
-    now = kpis.rolling_activity(spark, sf_dir).where("d = date '2024-01-31'").select("doctor", "status")
+    now = kpis.rolling_activity(spark, sf_dir, kpis.LAST).select("doctor", "status")
     a = activity(spark, sf_dir).join(now, "doctor", "left")
     e = F.col("event_type")
     return a.groupBy("campaign").agg(F.count_distinct("doctor").alias("doctors"), F.count_distinct(F.when(F.col("status") == "active", F.col("doctor"))).alias("active"), F.count(F.when(e == "view", 1)).alias("screenings"), F.count(F.when(e == "error", 1)).alias("flags"), F.count_distinct("d").alias("days"))

@@ -135,9 +135,9 @@ def weekly_wow(spark, sf_dir):
 def state_week_rank(spark, sf_dir):
     roster, a = doctors(spark, sf_dir), activity(spark, sf_dir).where("event_type = 'view'")
     s = a.join(roster.select("doctor", "state"), "doctor").groupBy("state", saturday(F.col("d")).alias("week_end")).agg(F.count("*").alias("shares"), F.count_distinct("doctor").alias("sharing"))
-    weeks = a.agg(M.saturday_weeks(F.min("d"), F.max("d")).alias("w"))
-    # The universe is states times weeks: one row of weeks goes along with each state.
-    spine = roster.select("state").distinct().withColumn("j", F.lit(1)).join(weeks.withColumn("j", F.lit(1)), "j").select("state", F.explode("w").alias("week_end"))
+    first, last = a.agg(F.min("d"), F.max("d")).first()  # two dates
+    weeks = M.saturday_weeks(F.lit(first).cast("date"), F.lit(last).cast("date"))
+    spine = roster.select("state").distinct().select("state", F.explode(weeks).alias("week_end"))
     dense = spine.join(s, ["state", "week_end"], "left").fillna(0)
     return M.bottom_ranked(dense, ["week_end"], [F.col("sharing"), F.col("shares"), F.col("state")])
 
@@ -187,27 +187,32 @@ def action_rules(spark, sf_dir):
     return f.select("campaign", "week_end", rule.alias("issue"))
 
 
-ROLLING = ACT + """, day AS (SELECT doctor, d, count(*) AS n FROM act WHERE event_type = 'click' GROUP BY ALL), sp AS (SELECT doctor, CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS d FROM (SELECT DISTINCT doctor FROM day)),
+#: The days that the activity queries report; events lie before and after them.
+FIRST, LAST = "2024-01-10", "2024-01-20"
+ROLLING = ACT + f""", day AS (SELECT doctor, d, count(*) AS n FROM act WHERE event_type = 'click' GROUP BY ALL), people AS (SELECT c_custkey AS doctor FROM customer UNION SELECT doctor FROM act),
+sp AS (SELECT doctor, CAST(unnest(generate_series(DATE '{FIRST}', DATE '{LAST}', INTERVAL 1 DAY)) AS DATE) AS d FROM people),
 rl AS (SELECT sp.doctor, sp.d, CAST(coalesce((SELECT sum(n) FROM day WHERE day.doctor = sp.doctor AND day.d BETWEEN sp.d - 14 AND sp.d), 0) AS BIGINT) AS rolling, (SELECT max(d) FROM day WHERE day.doctor = sp.doctor AND day.d <= sp.d) AS last_active FROM sp),
 status AS (SELECT *, CASE WHEN rolling >= 3 THEN 'active' WHEN rolling = 0 THEN 'inactive' ELSE 'low' END AS status FROM rl)"""
 
 
 @query(f"WITH {ROLLING} SELECT * FROM status")
-def rolling_activity(spark, sf_dir):
-    daily = activity(spark, sf_dir).where("event_type = 'click'").groupBy("doctor", "d").agg(F.count("*").alias("n"))
-    return M.rolling_activity(daily, "doctor", F.lit("2024-01-01").cast("date"), F.lit("2024-01-31").cast("date"))
+def rolling_activity(spark, sf_dir, first: str = FIRST, last: str = LAST):
+    a = activity(spark, sf_dir)
+    daily = a.where("event_type = 'click'").groupBy("doctor", "d").agg(F.count("*").alias("n"))
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doctor")).union(a.select("doctor")).distinct()
+    return M.rolling_activity(daily, people, "doctor", F.lit(first).cast("date"), F.lit(last).cast("date"))
 
 
 @query(f"""WITH {ROLLING} SELECT d, count(*) FILTER (WHERE status = 'active') AS active, count(*) FILTER (WHERE status = 'low') AS low, count(*) FILTER (WHERE status = 'inactive') AS inactive FROM status GROUP BY d""")
-def dashboard_kpis(spark, sf_dir):
+def status_by_day(spark, sf_dir):
     count = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(s)
     return rolling_activity(spark, sf_dir).groupBy("d").agg(count("active"), count("low"), count("inactive"))
 
 
-@query(f"""WITH {ROLLING} SELECT DISTINCT doctor FROM status WHERE status = 'inactive' AND d BETWEEN DATE '2024-01-01' AND DATE '2024-01-06'
-  AND doctor NOT IN (SELECT doctor FROM status WHERE status = 'active' AND d BETWEEN DATE '2024-01-01' AND DATE '2024-01-06')""")
+@query(f"""WITH {ROLLING} SELECT DISTINCT doctor FROM status WHERE status = 'inactive' AND d BETWEEN DATE '2024-01-10' AND DATE '2024-01-15'
+  AND doctor NOT IN (SELECT doctor FROM status WHERE status = 'active' AND d BETWEEN DATE '2024-01-10' AND DATE '2024-01-15')""")
 def inactive_minus_active(spark, sf_dir):
-    inside = rolling_activity(spark, sf_dir).where("d between date '2024-01-01' and date '2024-01-06'")
+    inside = rolling_activity(spark, sf_dir).where("d between date '2024-01-10' and date '2024-01-15'")
     both = inside.groupBy("doctor").agg(F.bool_or(F.col("status") == "inactive").alias("i"), F.bool_or(F.col("status") == "active").alias("a"))
     return both.where("i and not a").select("doctor")
 
@@ -237,16 +242,6 @@ def screening_merge(spark, sf_dir):
     return activity(spark, sf_dir).groupBy("campaign", "doctor", hour.alias("hour")).agg(F.min("event_id").alias("event_id"), F.bool_or(F.col("event_type") == "purchase").alias("purchased"), F.bool_or(F.col("event_type") == "error").alias("failed"), F.count("*").alias("merged"))
 
 
-@query(f"""WITH {ROLLING}, {DOC}, act2 AS (SELECT doctor, count(*) AS events, min(d) FILTER (WHERE event_type = 'purchase') AS certified FROM act GROUP BY doctor)
-  SELECT doc.doctor, state, rep, coalesce(status.status, 'inactive') AS status, coalesce(events, 0) AS events, certified, certified IS NOT NULL AS is_certified FROM doc LEFT JOIN (SELECT * FROM status WHERE d = DATE '2024-01-31') status ON doc.doctor = status.doctor LEFT JOIN act2 ON doc.doctor = act2.doctor""")
-def doctor_status_report(spark, sf_dir):
-    a = activity(spark, sf_dir)
-    now = rolling_activity(spark, sf_dir).where("d = date '2024-01-31'").select("doctor", "status")
-    events = a.groupBy("doctor").agg(F.count("*").alias("events"), F.min(F.when(F.col("event_type") == "purchase", F.col("d"))).alias("certified"))
-    out = doctors(spark, sf_dir).join(now, "doctor", "left").join(events, "doctor", "left")
-    return out.select("doctor", "state", "rep", F.coalesce("status", F.lit("inactive")).alias("status"), F.coalesce("events", F.lit(0)).alias("events"), "certified", F.col("certified").isNotNull().alias("is_certified"))
-
-
 @query(f"WITH {ACT} SELECT doctor, min(d) AS certified, arg_min(campaign, (d, event_id)) AS campaign FROM act WHERE event_type = 'purchase' GROUP BY doctor")
 def certification_min(spark, sf_dir):
     return activity(spark, sf_dir).where("event_type = 'purchase'").groupBy("doctor").agg(F.min("d").alias("certified"), F.min_by("campaign", F.struct("d", "event_id")).alias("campaign"))

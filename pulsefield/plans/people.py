@@ -118,7 +118,7 @@ def unique_match_cascade(spark, sf_dir):
     return J.match_cascade(ev, steps, "doctor").select("ev", "doctor", "basis")
 
 
-SCORED = DOC + """, cand AS (SELECT a.doctor AS ev, b.doctor AS cand, 95 AS score FROM doc a JOIN doc b ON lower(a.email) = lower(b.email) WHERE b.doctor < 700 UNION ALL SELECT a.doctor, b.doctor, 90 + CASE WHEN a.rep = b.rep THEN 5 ELSE 0 END FROM doc a JOIN doc b ON a.phone = b.phone WHERE b.doctor < 500),
+SCORED = DOC + """, cand AS (SELECT a.doctor AS ev, b.doctor AS cand, 95 AS score FROM doc a JOIN doc b ON lower(a.email) = lower(b.email) UNION ALL SELECT a.doctor, b.doctor, 90 + CASE WHEN a.rep = b.rep THEN 5 ELSE 0 END FROM doc a JOIN doc b ON a.phone = b.phone),
 best AS (SELECT ev, cand, max(score) AS score FROM cand GROUP BY ev, cand), top AS (SELECT ev, max(score) AS score FROM best GROUP BY ev)"""
 
 
@@ -126,22 +126,22 @@ best AS (SELECT ev, cand, max(score) AS score FROM cand GROUP BY ev, cand), top
   SELECT doctor AS ev, CASE WHEN n = 1 THEN cand END AS cand, score, CASE WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status FROM doc LEFT JOIN r ON r.ev = doc.doctor""")
 def scored_identity(spark, sf_dir):
     d = doctors(spark, sf_dir).select("doctor", email_loose(F.col("email")).alias("email"), "phone", "rep")
-    side = lambda top: d.where(F.col("doctor") < top).select(F.col("doctor").alias("cand"), F.col("email").alias("c_email"), F.col("phone").alias("c_phone"), F.col("rep").alias("c_rep"))
-    one = d.join(side(700), F.col("email") == F.col("c_email")).select(F.col("doctor").alias("ev"), "cand", F.lit(95).alias("score"))
-    two = d.join(side(500), F.col("phone") == F.col("c_phone")).select(F.col("doctor").alias("ev"), "cand", (F.lit(90) + F.when(F.col("rep") == F.col("c_rep"), 5).otherwise(0)).alias("score"))
+    side = d.select(F.col("doctor").alias("cand"), F.col("email").alias("c_email"), F.col("phone").alias("c_phone"), F.col("rep").alias("c_rep"))
+    one = d.join(side, F.col("email") == F.col("c_email")).select(F.col("doctor").alias("ev"), "cand", F.lit(95).alias("score"))
+    two = d.join(side, F.col("phone") == F.col("c_phone")).select(F.col("doctor").alias("ev"), "cand", (F.lit(90) + F.when(F.col("rep") == F.col("c_rep"), 5).otherwise(0)).alias("score"))
     found = J.scored_candidates(one.unionByName(two), "ev", "cand", "score")
     return d.select(F.col("doctor").alias("ev")).join(found, "ev", "left").fillna("missing", ["status"])
 
 
-DIMS = """ev AS (SELECT o_orderkey AS ev, o_custkey % 20 AS id, CAST(o_orderdate AS DATE) AS at_d FROM orders), dim AS (SELECT p_partkey AS dim, p_partkey % 20 AS id, DATE '1995-01-01' + CAST(p_partkey * 37 % 2400 AS INTEGER) AS start_d, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE DATE '1995-01-01' + CAST(p_partkey * 37 % 2400 + 200 AS INTEGER) END AS end_d FROM part WHERE p_partkey < 60)"""
+DIMS = """ev AS (SELECT o_orderkey AS ev, o_custkey // 3 AS id, CAST(o_orderdate AS DATE) AS at_d FROM orders), dim AS (SELECT p_partkey AS dim, p_partkey // 3 AS id, DATE '1995-01-01' + CAST(p_partkey * 37 % 2400 AS INTEGER) AS start_d, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE DATE '1995-01-01' + CAST(p_partkey * 37 % 2400 + 200 AS INTEGER) END AS end_d FROM part)"""
 
 
 def _dims(spark, sf_dir):
-    ev = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ev"), (F.col("o_custkey") % 20).alias("id"), F.to_date("o_orderdate").alias("at"))
-    p = table(spark, sf_dir, "part").where("p_partkey < 60")
+    ev = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ev"), F.expr("o_custkey div 3").alias("id"), F.to_date("o_orderdate").alias("at"))
+    p = table(spark, sf_dir, "part")
     day = (F.col("p_partkey") * 37 % 2400).cast("int")
     start = F.date_add(F.lit("1995-01-01").cast("date"), day)
-    return ev, p.select(F.col("p_partkey").alias("dim"), (F.col("p_partkey") % 20).alias("id"), start.alias("start_d"), F.when(F.col("p_partkey") % 5 != 0, F.date_add(start, 200)).alias("end_d"))
+    return ev, p.select(F.col("p_partkey").alias("dim"), F.expr("p_partkey div 3").alias("id"), start.alias("start_d"), F.when(F.col("p_partkey") % 5 != 0, F.date_add(start, 200)).alias("end_d"))
 
 
 @query(f"""WITH {DIMS}, t AS (SELECT ev.*, dim, start_d, CASE WHEN start_d <= at_d AND (end_d IS NULL OR at_d <= end_d) THEN 0 WHEN start_d <= at_d THEN 1 ELSE 2 END AS tier FROM ev LEFT JOIN dim ON ev.id = dim.id)
@@ -242,7 +242,7 @@ def state_priority(spark, sf_dir):
     return d.select("doctor", F.coalesce(F.when(F.col("doctor") % 3 == 0, F.col("state")), "seen", F.when(F.col("rep") == "R1", F.lit("NATION_1")), F.lit("Unmapped")).alias("state"))
 
 
-@query("""SELECT DISTINCT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey OR c_custkey = s_suppkey""")
+@query("""SELECT DISTINCT c_custkey, s_suppkey FROM customer JOIN supplier ON c_custkey // 2 = s_suppkey OR c_custkey = s_suppkey""")
 def or_join(spark, sf_dir):
-    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    return J.union_of_joins(c, s, [("c_nationkey", "s_nationkey"), ("c_custkey", "s_suppkey")], [F.col("c_custkey"), F.col("s_suppkey")])
+    c, s = table(spark, sf_dir, "customer").withColumn("half", F.expr("c_custkey div 2")), table(spark, sf_dir, "supplier")
+    return J.union_of_joins(c, s, [("half", "s_suppkey"), ("c_custkey", "s_suppkey")], [F.col("c_custkey"), F.col("s_suppkey")])

@@ -17,26 +17,26 @@ def scan_projected(spark, sf_dir):
     return e.groupBy("event_type", "user_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("total_rows"), F.count("*").alias("unique_rows"))
 
 
-@query(f"WITH {ACT} SELECT event_id, d FROM act WHERE d >= (SELECT max(d) FROM act WHERE event_id < 5000) - 3")
+@query(f"WITH {ACT} SELECT event_id, d FROM act WHERE d >= (SELECT max(d) FROM act WHERE d < DATE '2024-01-20') - 3")
 def watermark_lookback_scan(spark, sf_dir):
     from pulsefield.sources.tables import since_watermark
 
     a = activity(spark, sf_dir)
-    last = a.where("event_id < 5000").agg(F.max("d")).first()[0]
+    last = a.where("d < date '2024-01-20'").agg(F.max("d")).first()[0]
     return since_watermark(a, "d", last, 3).select("event_id", "d")
 
 
-@query(f"WITH {ACT}, o AS (SELECT DISTINCT doctor, event_type, d FROM act WHERE event_id < 4000) SELECT DISTINCT doctor, event_type, d FROM act WHERE event_id >= 3000 EXCEPT SELECT * FROM o")
+@query(f"WITH {ACT}, o AS (SELECT DISTINCT doctor, event_type, d FROM act WHERE d <= DATE '2024-01-18') SELECT DISTINCT doctor, event_type, d FROM act WHERE d >= DATE '2024-01-15' EXCEPT SELECT * FROM o")
 def payload_hash_append(spark, sf_dir):
     a = activity(spark, sf_dir).select("event_id", "doctor", "event_type", "d")
     cols = ["doctor", "event_type", "d"]
-    return R.append_new_payloads(a.where("event_id < 4000").select(*cols), a.where("event_id >= 3000").select(*cols), cols).select(*cols)
+    return R.append_new_payloads(a.where("d <= date '2024-01-18'").select(*cols), a.where("d >= date '2024-01-15'").select(*cols), cols).select(*cols)
 
 
-@query(f"WITH {ACT} SELECT event_id FROM act WHERE event_id % 3 = 0 AND doctor IN (SELECT doctor FROM act WHERE event_type = 'purchase')")
+@query(f"WITH {ACT} SELECT event_id FROM act WHERE doctor IN (SELECT doctor FROM act WHERE event_type = 'purchase')")
 def snapshot_semi_join(spark, sf_dir):
     a = activity(spark, sf_dir)
-    return a.where("event_id % 3 = 0").join(a.where("event_type = 'purchase'").select("doctor").distinct(), "doctor", "left_semi").select("event_id")
+    return a.join(a.where("event_type = 'purchase'").select("doctor").distinct(), "doctor", "left_semi").select("event_id")
 
 
 @query("""WITH v AS (SELECT c_custkey, 'v2' AS src FROM customer WHERE c_custkey % 2 = 0 AND c_nationkey < 20), l AS (SELECT c_custkey, 'v1' AS src FROM customer WHERE c_custkey % 3 = 0) SELECT * FROM v UNION ALL SELECT * FROM l WHERE c_custkey NOT IN (SELECT c_custkey FROM v)""")
@@ -200,11 +200,11 @@ def dim_prune(spark, sf_dir):
     return P.prune(doctors(spark, sf_dir), activity(spark, sf_dir).where("event_type = 'error'"), "doctor").select("doctor", "state")
 
 
-@query(f"""WITH {DOC}, p AS (SELECT *, right(regexp_replace(phone, '[^0-9]', '', 'g'), 10) AS ph FROM doc), r AS (SELECT DISTINCT ph, CASE WHEN doctor % 20 = 0 THEN NULL ELSE rep END AS rep FROM p WHERE doctor < 500 AND doctor % 10 = 0)
+@query(f"""WITH {DOC}, p AS (SELECT *, right(regexp_replace(phone, '[^0-9]', '', 'g'), 10) AS ph FROM doc), r AS (SELECT DISTINCT ph, CASE WHEN doctor % 20 = 0 THEN NULL ELSE rep END AS rep FROM p WHERE doctor % 10 = 0)
   SELECT doctor FROM p WHERE ph NOT IN (SELECT ph FROM r WHERE rep IS NULL) AND (ph NOT IN (SELECT ph FROM r WHERE rep IS NOT NULL) OR EXISTS (SELECT 1 FROM r WHERE r.ph = p.ph AND r.rep = p.rep))""")
 def roster_correction(spark, sf_dir):
     d = doctors(spark, sf_dir)
-    rules = d.where("doctor < 500 and doctor % 10 = 0").select("phone", F.when(F.col("doctor") % 20 != 0, F.col("rep")).alias("rep"))
+    rules = d.where("doctor % 10 = 0").select("phone", F.when(F.col("doctor") % 20 != 0, F.col("rep")).alias("rep"))
     return P.keep_with_rep(d, rules, "phone", "rep").select("doctor")
 
 

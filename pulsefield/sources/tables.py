@@ -9,9 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsefield.functions.text import row_hash
-
-TRUTHY = ("1", "true", "t", "yes", "y")
+from pulsefield.functions.text import TRUE_WORDS, row_hash
 
 
 def read_jdbc(spark: SparkSession, url: str, relation: str, split_by: str | None = None, bounds: tuple[int, int] = (0, 1), parts: int = 1, **options: str) -> DataFrame:
@@ -27,7 +25,7 @@ def projected(df: DataFrame, columns: dict[str, str], watermark: str | None = No
     if watermark and start is not None and watermark in df.columns:
         df = df.where(F.col(watermark) >= F.lit(start))
     if current and current in df.columns:
-        df = df.where(F.lower(F.trim(F.col(current).cast("string"))).isin(*TRUTHY))
+        df = df.where(F.lower(F.trim(F.col(current).cast("string"))).isin(*TRUE_WORDS))
     return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
 
 
