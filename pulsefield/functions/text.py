@@ -229,7 +229,8 @@ def format_number(c: Column) -> Column:
 
 
 def format_percent(c: Column) -> Column:
-    return F.concat(F.format_string("%.1f", as_float(c)), F.lit("%"))
+    """One decimal, halves to even."""
+    return F.concat(F.replace(F.format_number(as_float(c), 1), F.lit(","), F.lit("")), F.lit("%"))
 
 
 def pretty_date(c: Column) -> Column:

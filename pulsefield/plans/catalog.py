@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pulsefield.plans import base, clinics, dimensions, facts, kpis, people, records, reports
+from pulsefield.plans import attribution, base, clinics, dimensions, facts, kpis, people, records, reports, rollups
 
-MODULES = (kpis, people, records, dimensions, reports, facts, clinics)
+MODULES = (kpis, people, records, dimensions, reports, facts, clinics, rollups, attribution)
 
 
 def queries() -> dict:

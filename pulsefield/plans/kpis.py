@@ -305,12 +305,18 @@ def rep_insight(spark, sf_dir):
     return joined.groupBy("rep").agg(F.count("*").alias("assigned"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("sent", "viewed", "video", "pdf")], F.count_distinct("campaigns").alias("campaign_sets"))
 
 
-@query(f"""WITH {SEEN}, {DOC}, s AS (SELECT state, count(DISTINCT doc.doctor) AS doctors, count(DISTINCT x.doctor) FILTER (WHERE reached IS NOT NULL) AS reached, count(DISTINCT x.doctor) FILTER (WHERE opened IS NOT NULL) AS opened,
-  count(DISTINCT x.doctor) FILTER (WHERE video IS NOT NULL OR pdf IS NOT NULL) AS consumed FROM doc LEFT JOIN seen x ON doc.doctor = x.doctor GROUP BY state) SELECT *, {band_sql('health')} AS band FROM (SELECT *, round({health_sql('reached', 'opened', 'consumed', '(doctors / 4.0::DOUBLE)')}, 6) AS health FROM s)""")
+@query(f"""WITH {SEEN}, {DOC}, roster AS (SELECT doctor, state FROM doc WHERE doctor % 9 <> 0), ev AS (SELECT x.doctor, doc.state, min(reached) AS reached, min(opened) AS opened, min(video) AS video, min(pdf) AS pdf FROM seen x LEFT JOIN doc ON doc.doctor = x.doctor GROUP BY ALL),
+base AS (SELECT doctor, state FROM roster UNION SELECT doctor, coalesce(state, 'Unknown') FROM ev WHERE doctor NOT IN (SELECT doctor FROM roster)),
+s AS (SELECT base.state, count(DISTINCT base.doctor) AS doctors, count(DISTINCT base.doctor) FILTER (WHERE reached IS NOT NULL) AS reached, count(DISTINCT base.doctor) FILTER (WHERE opened IS NOT NULL) AS opened,
+  count(DISTINCT base.doctor) FILTER (WHERE video IS NOT NULL OR pdf IS NOT NULL) AS consumed FROM base LEFT JOIN ev ON ev.doctor = base.doctor GROUP BY base.state) SELECT *, {band_sql('health')} AS band FROM (SELECT *, round({health_sql('reached', 'opened', 'consumed', '(doctors / 4.0::DOUBLE)')}, 6) AS health FROM s)""")
 def state_attention(spark, sf_dir):
-    seen = M.first_seen(activity(spark, sf_dir), ["doctor"])
+    """Per state the distinct doctors of the roster and of events that it lacks, by stage; one full outer join on the doctor."""
+    directory = doctors(spark, sf_dir).select("doctor", "state")
+    roster = directory.where("doctor % 9 <> 0").withColumnRenamed("state", "own")
+    seen = M.first_seen(activity(spark, sf_dir), ["doctor"]).join(directory, "doctor", "left")
+    both = roster.join(seen, "doctor", "full").withColumn("at", F.coalesce("own", "state", F.lit("Unknown")))
     has = lambda c: F.count(F.when(c, 1))
-    s = doctors(spark, sf_dir).join(seen, "doctor", "left").groupBy("state").agg(F.count("*").alias("doctors"), has(F.col("reached").isNotNull()).alias("reached"), has(F.col("opened").isNotNull()).alias("opened"), has(F.col("video").isNotNull() | F.col("pdf").isNotNull()).alias("consumed"))
+    s = both.groupBy(F.col("at").alias("state")).agg(F.count("*").alias("doctors"), has(F.col("reached").isNotNull()).alias("reached"), has(F.col("opened").isNotNull()).alias("opened"), has(F.col("video").isNotNull() | F.col("pdf").isNotNull()).alias("consumed"))
     s = s.withColumn("health", F.round(engagement_health(F.col("reached"), F.col("opened"), F.col("consumed"), F.col("doctors") / 4.0), 6))
     return s.withColumn("band", health_band(F.col("health")))
 
