@@ -56,6 +56,28 @@ def active_rows(current: DataFrame, snapshot: DataFrame | None, fallback: DataFr
     return active.unionByName(fallback.join(active.select(*keys).distinct(), keys, "left_anti"))
 
 
+def first_source_wins(sources: list[DataFrame], keys: list[str], order: list[Column]) -> DataFrame:
+    """Rows of several sources, tagged with their place in ``source_rank``; of each key those of the first source that has it.
+
+    One shuffle for any number of sources.
+    """
+    tagged = [df.withColumn("source_rank", F.lit(i)) for i, df in enumerate(sources)]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    return latest_by(every, keys, [F.col("source_rank"), *order])
+
+
+def order_by_existing(df: DataFrame, wanted: list[tuple[str, bool]]) -> list[Column]:
+    """An ordering by those of the wanted columns (name, descending) that df has, nulls last, then by the whole row."""
+    known = [(F.desc_nulls_last if down else F.asc_nulls_last)(name) for name, down in wanted if name in df.columns]
+    return [*known, row_hash(*[F.col(c) for c in df.columns])]
+
+
+def archive_batch(df: DataFrame, columns: list[str], key: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """(kept, archived): of rows with equal payloads all but the one of least key go to the archive, the ``most`` of least key in a batch."""
+    archived = split_duplicates(df, columns, [F.col(key)]).where("rank > 1").drop("rank").orderBy(key).limit(most)
+    return df.join(archived.select(key), key, "left_anti"), archived
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Incoming rows replace existing ones with their key; others stay."""
     both = existing.withColumn("_p", F.lit(1)).unionByName(incoming.withColumn("_p", F.lit(0)))

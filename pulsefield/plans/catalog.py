@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pulsefield.plans import attribution, base, clinics, dimensions, facts, kpis, people, records, reports, rollups
+from pulsefield.plans import attribution, base, clinics, dimensions, facts, kpis, people, records, reports, rollups, runs
 
-MODULES = (kpis, people, records, dimensions, reports, facts, clinics, rollups, attribution)
+MODULES = (kpis, people, records, dimensions, reports, facts, clinics, rollups, attribution, runs)
 
 
 def queries() -> dict:

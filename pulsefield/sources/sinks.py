@@ -2,28 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-def publish(tables: dict[str, DataFrame], root: str, run_id: str) -> dict[str, str]:
-    """Write all tables of a run to a folder of its own, then point to it: readers see the old run or the new one whole."""
-    spark = next(iter(tables.values())).sparkSession
+from pulsefield.functions.text import campaign_alnum
+
+
+def campaign_token(c: Column) -> Column:
+    """One spelling for all of a campaign id, so that ids which differ in signs or case share a partition."""
+    return F.coalesce(F.nullif(campaign_alnum(c), F.lit("")), F.lit("unknown"))
+
+
+def write_run(tables: dict[str, DataFrame], root: str, run_id: str) -> dict[str, str]:
+    """Write all tables of a run to a folder of its own. Tables with a campaign are partitioned by its token.
+
+    A campaign that a run doesn't have has no folder in it, so nothing is left over from runs before.
+    """
     paths = {name: f"{root}/runs/{run_id}/{name}" for name in tables}
     for name, df in tables.items():
+        by_campaign = "campaign" in df.columns and len(df.columns) > 1
+        df = df.withColumn("campaign_token", campaign_token(F.col("campaign"))) if by_campaign else df
         writer = df.write.mode("overwrite")
-        (writer.partitionBy("campaign") if "campaign" in df.columns and len(df.columns) > 1 else writer).parquet(paths[name])
+        (writer.partitionBy("campaign_token") if by_campaign else writer).parquet(paths[name])
+        # A partitioned table without rows has no files that tell its columns.
+        df.sparkSession.createDataFrame([(df.schema.json(),)], "s string").coalesce(1).write.mode("overwrite").text(f"{root}/runs/{run_id}/_columns/{name}")
+    return paths
+
+
+def point_to(spark: SparkSession, root: str, run_id: str) -> None:
+    """Make a run the published one. The pointer is written beside and moved over the old one, so a reader always finds a whole one."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    out = pointer.getFileSystem(conf).create(pointer, True)
+    hadoop = jvm.org.apache.hadoop.fs
+    pointer, beside = hadoop.Path(f"{root}/CURRENT"), hadoop.Path(f"{root}/CURRENT.{run_id}")
+    files = pointer.getFileSystem(conf)
+    out = files.create(beside, True)
     out.write(bytearray(run_id.encode()))
     out.close()
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(files.getUri(), conf).rename(files.makeQualified(beside), files.makeQualified(pointer), overwrite)
+
+
+def publish(tables: dict[str, DataFrame], root: str, run_id: str) -> dict[str, str]:
+    """Write a run and then point to it: readers see the old run or the new one whole, also if this ends in between."""
+    paths = write_run(tables, root, run_id)
+    point_to(next(iter(tables.values())).sparkSession, root, run_id)
     return paths
 
 
 def published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table of the run that was published last; a filter on campaign prunes folders."""
+    """A table of the run that was published last; a filter on campaign_token prunes folders."""
     run_id = spark.read.text(f"{root}/CURRENT").first()[0]
-    return spark.read.parquet(f"{root}/runs/{run_id}/{name}")
+    columns = StructType.fromJson(json.loads(spark.read.text(f"{root}/runs/{run_id}/_columns/{name}").first()[0]))
+    return spark.read.schema(columns).parquet(f"{root}/runs/{run_id}/{name}")
 
 
 def export_csv(df: DataFrame, path: str) -> None:

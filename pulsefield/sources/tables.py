@@ -59,9 +59,14 @@ def next_watermark(df: DataFrame, column: str, previous: dt.date | None) -> dt.d
     return df.agg(F.max(column)).first()[0] or previous
 
 
-def audited(df: DataFrame, run_id: str, system: str, relation: str, at: dt.datetime) -> DataFrame:
-    """With a payload hash and where and when the row was read."""
-    return df.withColumns({"_record_hash": row_hash(*[F.col(c) for c in df.columns]), "_run_id": F.lit(run_id), "_source_system": F.lit(system), "_source_table": F.lit(relation), "_ingested_at": F.lit(at)})
+def audited(df: DataFrame, run_id: str, system: str, relation: str | None, at: dt.datetime) -> DataFrame:
+    """With a payload hash and where and when the row was read. Columns that start with _ are about a run and not part of the hash.
+
+    relation: None if the rows name their source themselves.
+    """
+    payload = [F.col(c) for c in df.columns if not c.startswith("_")]
+    named = {} if relation is None else {"_source_table": F.lit(relation)}
+    return df.withColumns({"_record_hash": row_hash(*payload), "_run_id": F.lit(run_id), "_source_system": F.lit(system), **named, "_ingested_at": F.lit(at)})
 
 
 def stale(current: int, previous: int | None, least_share: float = 0.2) -> bool:

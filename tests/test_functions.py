@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsefield.functions import text as T
+from pulsefield.functions.references import json_references
 
 
 def one(spark, value, f, kind="string"):
@@ -60,3 +61,21 @@ def test_display_name_and_row_hash(spark):
     assert [r.n for r in df.select(T.display_name(*[F.col(c) for c in "fabmp"]).alias("n")).collect()] == ["A", "Unknown Doctor"]
     h = [r.h for r in df.select(T.row_hash(F.col("f"), F.col("p")).alias("h")).collect()]
     assert h[0] != h[1]
+
+
+def test_iso_dates_and_formats(spark):
+    texts = ["2024-01-05T10:11", "20240105", "2024-01-05T10:11:12Z", "20240105T1011", "2024-01-05 10", "2024-13-05", "05-01-2024", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [str(r[0]) for r in df.select(T.parse_datetime(F.col("t"), day_first=False)).collect()]
+    assert got == ["2024-01-05 10:11:00", "2024-01-05 00:00:00", "2024-01-05 10:11:12", "2024-01-05 10:11:00", "2024-01-05 10:00:00", "None", "None", "None"]
+    assert str(df.where("t = '05-01-2024'").select(T.parse_datetime(F.col("t"))).first()[0]) == "2024-01-05 00:00:00"
+    numbers = spark.createDataFrame([("1234567",), ("1234.56",), ("x",), (None,)], "t string")
+    assert [tuple(r) for r in numbers.select(T.format_number(F.col("t")), T.format_percent(F.col("t"))).collect()] == [("1,234,567", "1234567.0%"), ("1,234.6", "1234.6%"), ("0", "0.0%"), ("0", "0.0%")]
+    dates = spark.createDataFrame([("2024-01-05", None), ("2024-01-05T10:00:00", "2024-02-01 00:00:00"), ("soon", ""), (None, None)], "a string, b string")
+    assert [tuple(r) for r in dates.select(T.pretty_date(F.col("a")), T.reporting_window(F.col("a"), F.col("b"))).collect()] == [("Jan 05, 2024", "Jan 05, 2024"), ("Jan 05, 2024", "Jan 05, 2024 to Feb 01, 2024"), ("soon", "soon"), ("", "No dated activity yet")]
+
+
+def test_json_references(spark):
+    texts = ['{"Alpha": ["beta", "en", {"videos": 12345, "beta": null}], "abc": "video"}', "plain text", "", None, "[true, \'x\'"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(json_references(F.col("t"))).collect()] == [["Alpha", "beta", "12345"], ["plain text"], [], [], ["[true, \'x\'"]]

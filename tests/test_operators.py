@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsefield.operators import matching as J
+from pulsefield.operators import metrics
 from pulsefield.operators import policy as P
 from pulsefield.operators import rows as R
-from pulsefield.sources import sinks, tables
+from pulsefield.sources import ingest, sinks, tables
 from pulsefield.streaming import jobs
 
 
@@ -75,6 +76,63 @@ def test_publish_switches_whole_runs(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 2
 
 
+def test_a_run_that_ends_before_the_pointer_changes_nothing(spark, tmp_path):
+    root = str(tmp_path)
+    old = spark.createDataFrame([("C-1", 1), ("c1", 2)], "campaign string, n int")
+    sinks.publish({"kpi": old}, root, "r1")
+    sinks.write_run({"kpi": old.limit(0)}, root, "r2")  # and a crash
+    assert sinks.published(spark, root, "kpi").where("campaign_token = 'c1'").count() == 2
+    (tmp_path / "CURRENT.r2").write_text("r2")  # a pointer that was written but not moved
+    assert sinks.published(spark, root, "kpi").count() == 2
+    sinks.point_to(spark, root, "r2")
+    assert sinks.published(spark, root, "kpi").count() == 0
+
+
+def test_ingest_falls_back_and_reports(spark, tmp_path):
+    good = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "id long, v string")
+    calls = []
+
+    def read(name):
+        calls.append(name)
+        if name == "broken":
+            raise OSError("no connection")
+        return {"good": good, "empty": good.limit(0)}[name]
+
+    spec = ingest.Spec("x", ("broken", "empty", "good"), {"id": "long", "v": "string", "gone": "string"}, ("id",))
+    rows, errors = ingest.extract(spec, ingest.retried(read, 2))
+    assert rows.count() == 3 and len(errors) == 2 and calls.count("broken") == 3
+    with pytest.raises(ValueError, match="can't be read"):
+        ingest.extract(ingest.Spec("x", ("broken", "empty"), {"id": "long"}, ("id",)), read)
+    root = f"{tmp_path}/state"
+    first = ingest.ingest(spark, [spec], read, root, "r1", dt.datetime(2024, 1, 1)).first()
+    second = ingest.ingest(spark, [spec], read, root, "r2", dt.datetime(2024, 1, 2)).first()
+    assert (first.rows_read, first.rows_new, first.previous_rows) == (3, 2, None) and (second.rows_new, second.previous_rows, second.is_stale) == (0, 2, False)
+    assert {r.row_key for r in spark.read.parquet(f"{root}/snapshots/x").collect()} == {"1", "2"}
+    with pytest.raises(ValueError, match="required sources without rows: y"):
+        ingest.ingest(spark, [ingest.Spec("y", ("broken",), {"id": "long"}, ("id",))], read, root, "r3", dt.datetime(2024, 1, 3))
+    assert spark.read.parquet(f"{root}/log").where("status = 'FAILED'").count() == 1
+
+
+def test_snapshot_keys_and_orders(spark):
+    df = spark.createDataFrame([("a", "b"), ("a", None), (None, " ")], "x string, y string")
+    keys = [r[0] for r in df.select(ingest.snapshot_key(("x", "y"), df.columns)).collect()]
+    assert keys[:2] == ["a\x1fb", "a\x1f"] and keys[2].startswith("hash:")
+    assert len(R.order_by_existing(df, [("y", True), ("gone", False)])) == 2
+    df.createOrReplaceTempView("raw_seen")
+    assert "raw_seen" in ingest.discover(spark)
+
+
+def test_activity_before_the_range_and_people_without_any(spark):
+    day = lambda s: F.lit(s).cast("date")
+    daily = spark.createDataFrame([("a", "2023-12-30", 5), ("b", "2023-12-01", 1), ("b", "2024-01-02", 1), ("d", "2024-02-01", 9)], "who string, d string, n long").withColumn("d", F.to_date("d"))
+    people = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "who string")
+    got = {(r.who, str(r.d)): (r.rolling, r.status, str(r.last_active)) for r in metrics.rolling_activity(daily, people, "who", day("2024-01-01"), day("2024-01-14")).collect()}
+    assert len(got) == 4 * 14
+    assert got["a", "2024-01-01"] == (5, "active", "2023-12-30") and got["a", "2024-01-14"] == (0, "inactive", "2023-12-30")
+    assert got["b", "2024-01-01"] == (0, "inactive", "2023-12-01") and got["b", "2024-01-02"] == (1, "low", "2024-01-02")
+    assert {got[w, "2024-01-05"] for w in "cd"} == {(0, "inactive", "None")}
+
+
 def test_streams(spark, tmp_path):
     t = dt.datetime(2024, 1, 7, 1)
     rows = [(1, "a", t), (1, "a", t), (2, "a", t + dt.timedelta(days=1)), (3, "a", t + dt.timedelta(days=20))]
