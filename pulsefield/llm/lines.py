@@ -90,7 +90,8 @@ def repeated_runs(numbered: DataFrame, min_lines: int = 2, lone_blanks: bool = T
     rows = materialize(rows.withColumn("seg_lines", F.count("*").over(seg)).where(F.col("seg_lines") >= min_lines), "segments")
     release(placed)
     if min_lines == 1:
-        first = rows.groupBy("r").agg(F.min(F.struct("doc_id", "tie", "rid", "pos")).alias("first"))
+        # A table of its own: joined to the aggregate itself, the rows of a line that is everywhere couldn't be split over tasks.
+        first = materialize(rows.groupBy("r").agg(F.min(F.struct("doc_id", "tie", "rid", "pos")).alias("first")), "firsts")
         counted = rows if lone_blanks else rows.where("not blank")
         copies = [counted.join(first, "r").where("not (first.rid = rid and first.pos = pos)").select("rid", "pos", F.lit(1).alias("n"))]
     else:
