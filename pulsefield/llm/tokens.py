@@ -36,6 +36,7 @@ from pulsefield.llm.files import reading, replacing
 
 MAGIC = b"TOKEF001"
 SAMPLE = 64
+SHARDS, LARGEST_SHARD = 4096, 512 << 20
 
 
 class EliasFano:
@@ -80,15 +81,17 @@ class EliasFano:
 #: Texts of these characters alone split into the tokenizer's pieces by the pattern below.
 PLAIN = re.compile(r"[\t\n\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 PIECES = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
-NEWLINE = 198
+#: Texts on which both ways must agree before pieces are used.
+PROBES = ("I'll don't  it's 'S x\n\ny \t z  ", "Größe 12345 ab12 1a2b3c -- ... é È ÿ!? #$%&*()", "\n a\nb \n\n", "a" * 300 + " " * 40 + "b", "under_score 3.14e-5 <tag/> \\ ~ `q` [x]{y}", "", " ")
 
 
 class PieceEncoder:
-    """Encodes texts with a byte-level BPE tokenizer and remembers the ids of pieces.
+    """Encodes texts with a tokenizer and, if it is a byte-level BPE with the usual split, remembers the ids of pieces.
 
     Byte-level BPE never merges across the pieces its pattern splits a text into, so a text's ids are its pieces' ids in
     turn. Pieces not seen yet are encoded together, a line each. Other texts, and any that hold a
-    special token's string, are encoded whole.
+    special token's string, are encoded whole. So are all texts of a tokenizer that normalizes, splits otherwise, adds a leading blank, has no
+    token of its own for a newline, or whose pieces and whole texts differ on PROBES.
     """
 
     def __init__(self, path: str, dtype: str, limit: int = 1_500_000):
@@ -97,6 +100,21 @@ class PieceEncoder:
         self.tokenizer, self.dtype, self.limit = Tokenizer.from_file(path), dtype, limit
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ids: dict[str, bytes] = {}
+        newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.newline = newline[0] if len(newline) == 1 else None
+        self.by_piece = self._usual_split() and self.newline is not None and self._pieces_agree()
+
+    def _usual_split(self) -> bool:
+        made = json.loads(self.tokenizer.to_str())
+        split = made.get("pre_tokenizer") or {}
+        usual = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        return bool(usual and not made.get("normalizer") and made["model"]["type"] == "BPE")
+
+    def _pieces_agree(self) -> bool:
+        self.by_piece = True
+        agree = self.encode(list(PROBES)) == self._whole(list(PROBES))
+        self.ids.clear()
+        return agree
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -110,13 +128,15 @@ class PieceEncoder:
         for at in range(0, len(solid), 4096):
             group = solid[at : at + 4096]
             data = self._whole(["\n".join(group)])[0]
-            ends = np.flatnonzero(np.frombuffer(data, self.dtype) == NEWLINE) * np.dtype(self.dtype).itemsize
+            ends = np.flatnonzero(np.frombuffer(data, self.dtype) == self.newline) * np.dtype(self.dtype).itemsize
             size = np.dtype(self.dtype).itemsize
             starts = [0, *(ends + size).tolist()]
             self.ids.update((p, data[a:b]) for p, a, b in zip(group, starts, [*ends.tolist(), len(data)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
+        if not self.by_piece:
+            return self._whole(texts)
         plain = [bool(PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
         pieces = [PIECES.findall(t) if p else None for t, p in zip(texts, plain, strict=True)]
         seen = set(itertools.chain.from_iterable(p for p in pieces if p))
@@ -143,14 +163,16 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, wide
     """Encode and write the documents by id, or by the keys in order; a row (shard, path, documents, tokens) per shard.
 
     order: unique sort keys of docs. Ids then don't rise, so they stand in the shard as they are.
+    A shard has shard_bytes of text, and up to LARGEST_SHARD where there would be more than SHARDS, so the manifest stays small.
     """
     dtype = "<u4" if wide else "<u2"
-    by = order or (F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")))
+    # The row's number lets rows of equal id and text fill more than one shard.
+    by = order or (F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")), F.monotonically_increasing_id())
     given = order is not None
     keys = [f"key{i}" for i in range(len(by))]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[k.alias(name) for k, name in zip(by, keys, strict=True)])
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    ranged = rows.repartitionByRange(max(1, math.ceil(size / shard_bytes)), *keys).sortWithinPartitions(*keys)
+    ranged = rows.repartitionByRange(max(1, math.ceil(size / min(max(shard_bytes, size / SHARDS), max(shard_bytes, LARGEST_SHARD)))), *keys).sortWithinPartitions(*keys)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         batches = (b for b in batches if len(b))

@@ -147,6 +147,23 @@ def test_token_shards_round_trip(spark):
     assert tokens.token_digest(spark, frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["lowercase", "split", "prefix"])
+def test_other_tokenizers_are_encoded_whole(tmp_path, kind):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    tokenizer = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    assert tokens.PieceEncoder(public.path("byte_bpe_50k.json"), "<u2").by_piece
+    if kind == "lowercase":
+        tokenizer.normalizer = normalizers.Lowercase()
+    else:
+        tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=kind == "prefix", use_regex=kind == "prefix")
+    tokenizer.save(f"{tmp_path}/t.json")
+    encoder, texts = tokens.PieceEncoder(f"{tmp_path}/t.json", "<u2"), ["Some Words, don't\nsplit them", "", "x  y"]
+    assert not encoder.by_piece
+    assert encoder.encode(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+
+
 def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     vectors = [(int(i), [float(x) for x in rng.integers(-3, 4, 6) / 4]) for i in range(230)]
