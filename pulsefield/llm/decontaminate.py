@@ -159,7 +159,9 @@ def contaminations(
     met = materialize(met.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item", "size", "width", "at")).alias("met")), "met")
     same = (rows["text_key"] == met["text_key"]) & rows["doc_id"].eqNullSafe(met["doc_id"])
     again = rows.join(met, same).select(rows["doc_id"], rows["text_key"], tokens(F.col("text")).alias("w"), "met")
-    opened = [_windows(shingles(F.col("w"), k), _of_width(F.col("met"), k), k) for k in widths]
+    # The windows name the shingles many times, so those are columns of their own.
+    again = again.select("doc_id", "text_key", "met", *[shingles(F.col("w"), k).alias(f"hashes{k}") for k in widths])
+    opened = [_windows(F.col(f"hashes{k}"), _of_width(F.col("met"), k), k) for k in widths]
     windows = again.select("doc_id", "text_key", F.explode_outer(opened[0] if len(opened) == 1 else F.concat(*opened)).alias("v")).where("v is not null").select("doc_id", "text_key", "v.*")
     marked = windows.withColumn("fingerprint", simhash(F.col("hashes")))
 
