@@ -121,12 +121,12 @@ def fit_cumulative_link(rows: list[np.ndarray], grades: np.ndarray, n_features:
     return at[:n_features], target.thresholds(at)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", good_col: str | None = None, sample_rows: int = 20_000, vocabulary: int = 20_000, least_rows: int = 5) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", good_col: str | None = None, sample_rows: int = 20_000, vocabulary: int = 20_000, least_rows: int = 5, least_chi: float = 15.0) -> OrdinalModel:
     """Fit the model on a sample of at most sample_rows labelled documents.
 
     good_col: a label, 0 if the text is poor, by which toxic rows (label 1) are of severity 2 or 1.
     Each id counts once: with its highest grade if labels differ, with the text of least hash if rows repeat it.
-    A feature must be in least_rows rows and have a chi-squared of 15; samples too small for that ask for less.
+    A feature must be in least_rows rows and have a chi-squared of least_chi; samples too small for that ask for less.
     """
     grade = F.col(label_col).cast("int")
     if good_col is not None:
@@ -156,9 +156,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         gap = F.col(f"up{i}") - expected
         return gap * gap / (expected * F.lit(1 - above / n) * (1 - F.col("n") / (n + 1)))
 
-    # Chi-squared is at most about n; the cut of 15 holds from 60 rows on.
+    # Chi-squared is at most about n; a cut of 15 holds from 60 rows on.
     most = max(min(above, n - above) for above in up.values())
-    enough, cut = min(least_rows, (most + 1) // 2), min(15.0, n / 4)
+    enough, cut = min(least_rows, (most + 1) // 2), min(least_chi, n / 4)
     strongest = F.array_max(F.array(*[chi(i, above) for i, above in enumerate(up.values())]))
     best = counts.where(F.col("n") >= enough).select("f", strongest.alias("chi")).where(F.col("chi") > cut).orderBy(F.desc("chi"), "f").limit(vocabulary).collect()
     if not best:
@@ -200,6 +200,6 @@ def score_documents(docs: DataFrame, model: OrdinalModel, text_col: str = "text"
 
 def op2_toxicity_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train(docs, table(spark, sf_dir, "labels"), good_col="quality")
+    model = train(docs, table(spark, sf_dir, "labels"))
     scored = score_documents(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", "severity.*").withColumn("toxic", (F.col("toxicity") >= 0.5).cast("int"))
