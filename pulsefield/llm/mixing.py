@@ -17,7 +17,7 @@ sums are taken in hash-range buckets, then over the buckets, so no task sees a w
 
 Edge cases: a null text has size 0 and is never drawn. Rows that repeat id, source and size are
 counted before the buckets are formed, so many copies don't gather in one; each yields
-its own row. A null source is a source. The draw that crosses the target is cut, so a source's
+its own row, numbered a part of the input at a time. A null source is a source. The draw that crosses the target is cut, so a source's
 taken words are its target rounded to a whole number. An empty table yields no rows.
 """
 
@@ -83,12 +83,16 @@ def mix_sources(
 
     copy numbers the rows that share doc_id, source and size from 0.
     """
-    sized = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(F.col(source_col), F.lit("")).alias("skey"),
-        F.col(source_col).isNull().alias("snull"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    )
+    return _mix_sized(docs.select(*_keys(id_col, text_col, source_col)), weights, schedules, max_repeats, bucket_rows)
+
+
+def _keys(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """What the mix knows of a row: doc_id, skey, snull and size."""
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return [F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("skey"), F.col(source_col).isNull().alias("snull"), size.alias("size")]
+
+
+def _mix_sized(sized: DataFrame, weights: tuple, schedules: tuple, max_repeats: int, bucket_rows: int) -> DataFrame:
     digest = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("size").cast("string")))
     units = materialize(sized.groupBy("skey", "snull", "doc_id", "size").agg(F.count("*").alias("copies")).withColumn("h", digest), "mix")
     bits = min(28, max(10, math.ceil(math.log2(max(1, units.count() / bucket_rows)))))
@@ -126,19 +130,37 @@ def mix_sources(
     )
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple = WEIGHTS,
+    schedules: tuple = SCHEDULES,
+    max_repeats: int = 3,
+    bucket_rows: int = 1_000_000,
+) -> DataFrame:
     """The rows of docs as the mix draws them, a row per draw; ``draw`` has its pass, words and position.
 
     The columns of docs are under ``row``; a draw that was cut keeps so many words of the text, which is replaced in ``row``.
+    Rows are numbered once and matched to the mix without their texts, which are shuffled once, to their draws.
     """
-    mix = mix_sources(docs, id_col, text_col, source_col, **options)
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("k_id"), F.coalesce(F.col(source_col), F.lit("")).alias("k_source"), F.col(source_col).isNull().alias("k_null"), size.alias("k_size"), F.xxhash64(text_col).alias("k_tie"))
-    same = Window.partitionBy("k_id", "k_source", "k_null", "k_size").orderBy("k_tie")
-    numbered = keyed.withColumn("k_copy", (F.row_number().over(same) - 1).cast("long"))
-    drawn = mix.where(F.size("draws") > 0).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("snull"), "size", "copy", "draws")
-    met = (F.col("k_size") == F.col("size")) & (F.col("k_copy") == F.col("copy")) & (F.col("k_source") == F.col("source")) & (F.col("k_null") == F.col("snull")) & F.col("k_id").eqNullSafe(F.col("doc_id"))
-    joined = numbered.join(drawn, met).select("row", "size", F.explode("draws").alias("draw"))
+    numbered = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row")), "rows")
+    own = [F.col("rid"), F.xxhash64(F.col("row")[text_col]).alias("tie")]
+    narrow = materialize(numbered.select(*_keys(f"row.`{id_col}`", f"row.`{text_col}`", f"row.`{source_col}`"), *own), "sizes")
+    mix = _mix_sized(narrow.select("doc_id", "skey", "snull", "size"), weights, schedules, max_repeats, bucket_rows)
+    # Rows of equal key are numbered a part of the input at a time (a row's number tells the part), then over the parts.
+    same = ["doc_id", "skey", "snull", "size"]
+    parts = narrow.withColumn("part", F.shiftright("rid", 33))
+    inside = parts.withColumn("inside", F.row_number().over(Window.partitionBy(*same, "part").orderBy("tie", "rid")) - 1)
+    earlier = Window.partitionBy(*same).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.groupBy(*same, "part").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))).where("offset > 0")
+    keyed = [F.struct(F.col("doc_id")).alias("id"), "skey", "snull", "size"]  # a struct, so that null ids meet
+    copies = inside.select(*keyed, "part", "rid", "inside").join(offsets.select(*keyed, "part", "offset"), ["id", "skey", "snull", "size", "part"], "left")
+    copies = copies.select("id", "skey", "snull", "size", "rid", (F.col("inside") + F.coalesce("offset", F.lit(0))).cast("long").alias("copy"))
+    drawn = mix.where(F.size("draws") > 0).select(F.struct("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("skey"), F.col("source").isNull().alias("snull"), "size", "copy", "draws")
+    taken = materialize(copies.join(drawn, ["id", "skey", "snull", "size", "copy"]).select("rid", "size", "draws"), "draws")
+    joined = numbered.join(taken, "rid").select("row", "size", F.explode("draws").alias("draw"))
     text = F.when(F.col("draw.words") < F.col("size"), F.array_join(F.slice(words(F.col("row")[text_col]), 1, F.col("draw.words").cast("int")), " ")).otherwise(F.col("row")[text_col])
     return joined.select(F.col("row").withField(text_col, text).alias("row"), "draw")
 
