@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pulsefield.plans import attribution, base, clinics, details, dimensions, facts, gold, kpis, people, records, reports, rollups, runs
+from pulsefield.plans import attribution, base, clinics, details, dimensions, facts, gold, identity, kpis, people, records, reports, rollups, runs
 
-MODULES = (kpis, people, records, dimensions, reports, facts, clinics, rollups, attribution, runs, details, gold)
+MODULES = (kpis, people, records, dimensions, reports, facts, clinics, rollups, attribution, runs, details, gold, identity)
 
 
 def queries() -> dict:
