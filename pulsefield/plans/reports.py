@@ -184,11 +184,53 @@ def correction_ids(spark, sf_dir):
     return doctors(spark, sf_dir).select("doctor", F.explode(P.split_ids(text)).alias("affected")).distinct()
 
 
-@query(f"WITH {ACT} SELECT event_id, CASE event_type WHEN 'signup' THEN 'login' WHEN 'view' THEN 'screening' WHEN 'click' THEN 'video' WHEN 'purchase' THEN 'course' END AS target, json_extract_string(props, '$.k') AS payload FROM (SELECT act.*, props FROM act JOIN events USING (event_id)) WHERE event_type <> 'error'")
+#: The typed tables that activity events are routed to, and the slugs of events without one of them that are logins or forms.
+TARGETS = ("redflags_patientsubmission", "gnd_gndpatientsubmission", "redflags_submissionredflag", "gnd_gndsubmissionredflag", "redflags_followupreminder", "redflags_metricevent")
+LOGIN_SLUGS = ("fieldreplogin", "fieldreploggedin")
+FORM_SLUGS = (
+    "rfapatientsubmission", "gndpatientsubmission", "patientsubmission", "patientsubmitted", "screeningsubmission", "screeningsubmitted", "patientscreening", "formsubmission",
+    "formsubmitted", "patientformsubmission", "patientformsubmitted", "formfilled", "formfill", "redflagspatientsubmission", "gndgndpatientsubmission",
+)
+#: What the events call themselves here, by k: a table's name, or a spelling of a slug.
+KINDS = ("redflags_patientsubmission", "gnd_gndpatientsubmission", "redflags_submissionredflag", "gnd_gndsubmissionredflag", "redflags_followupreminder", "redflags_metricevent", "Field-Rep Login", "form_submitted", "GND patient-submission", "page_view")
+
+
+def _quoted(values: tuple[str, ...]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+@query(f"""WITH {ACT}, n AS (SELECT event_id, doctor, k, [{_quoted(KINDS)}][k % 10 + 1] AS kind, CASE k % 7 WHEN 3 THEN 'draft' ELSE 'submitted' END AS form_status FROM act),
+t AS (SELECT *, regexp_replace(lower(kind), '[^a-z0-9]', '', 'g') AS slug FROM n), r AS (SELECT *, CASE WHEN kind IN ({_quoted(TARGETS)}) THEN kind WHEN slug IN ({_quoted(LOGIN_SLUGS)}) THEN 'redflags_metricevent'
+  WHEN slug IN ({_quoted(FORM_SLUGS)}) THEN CASE WHEN slug LIKE '%gnd%' THEN 'gnd_gndpatientsubmission' ELSE 'redflags_patientsubmission' END END AS target FROM t)
+SELECT event_id, target, doctor, CASE WHEN target LIKE '%patientsubmission' THEN form_status END AS form_status FROM r WHERE target IS NOT NULL AND (target NOT LIKE '%patientsubmission' OR form_status = 'submitted')""")
 def activity_router(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    targets = F.create_map(*[F.lit(x) for pair in (("signup", "login"), ("view", "screening"), ("click", "video"), ("purchase", "course")) for x in pair])
-    return e.select("event_id", F.try_element_at(targets, F.col("event_type")).alias("target"), F.get_json_object("props", "$.k").alias("payload")).where("target is not null")
+    """Events as rows of six typed tables: by the table they name, else by the slug of their type. Forms count only once submitted."""
+    kind = F.get(F.array(*map(F.lit, KINDS)), (F.col("k") % 10).cast("int"))
+    n = activity(spark, sf_dir).select("event_id", "doctor", kind.alias("kind"), F.when(F.col("k") % 7 == 3, "draft").otherwise("submitted").alias("form_status"))
+    slug = F.regexp_replace(F.lower("kind"), "[^a-z0-9]", "")
+    form = F.when(slug.contains("gnd"), "gnd_gndpatientsubmission").otherwise("redflags_patientsubmission")
+    target = F.when(F.col("kind").isin(*TARGETS), F.col("kind")).when(slug.isin(*LOGIN_SLUGS), "redflags_metricevent").when(slug.isin(*FORM_SLUGS), form)
+    is_form = F.col("target").endswith("patientsubmission")
+    routed = n.withColumn("target", target).where(F.col("target").isNotNull() & (~is_form | (F.col("form_status") == "submitted")))
+    return routed.select("event_id", "target", "doctor", F.when(is_form, F.col("form_status")).alias("form_status"))
+
+
+#: Hosts whose links are shown as videos here; a deployment passes its own.
+VIDEO_HOSTS = ("www.youtube.com", "youtube.com", "youtu.be", "vimeo.com", "player.vimeo.com")
+
+
+@query(f"""WITH v AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '//youtu.be/' || page_id % 50 WHEN 1 THEN 'https://Vimeo.com/' || page_id % 50 || '?t=1' WHEN 2 THEN url ELSE 'ftp://youtu.be/x' END AS raw FROM pages),
+l AS (SELECT page_id, CASE WHEN starts_with(raw, '//') THEN 'https:' || raw ELSE raw END AS raw FROM v), c AS (SELECT page_id, CASE WHEN regexp_extract(raw, '^https?://([^/?#]+)', 1) <> '' AND lower(regexp_extract(raw, '^https?://([^/?#]+)', 1)) IN ({_quoted(VIDEO_HOSTS)}) THEN raw END AS link, raw FROM l),
+m AS (SELECT link, 'Video ' || max(page_id) AS title FROM c WHERE page_id % 3 = 0 AND link IS NOT NULL GROUP BY link)
+SELECT page_id, c.link AS video_url, m.title AS video_title, coalesce(m.title, c.link, c.raw) AS label FROM c LEFT JOIN m ON m.link = c.link""")
+def video_metadata(spark, sf_dir):
+    """Links of supported video hosts, completed with their scheme, with the title known for them and a label to show."""
+    k, page = F.col("page_id") % 4, (F.col("page_id") % 50).cast("string")
+    raw = F.when(k == 0, F.concat(F.lit("//youtu.be/"), page)).when(k == 1, F.concat(F.lit("https://Vimeo.com/"), page, F.lit("?t=1"))).when(k == 2, F.col("url")).otherwise("ftp://youtu.be/x")
+    c = table(spark, sf_dir, "pages").select("page_id", raw.alias("raw")).withColumn("raw", F.when(F.col("raw").startswith("//"), F.concat(F.lit("https:"), F.col("raw"))).otherwise(F.col("raw")))
+    c = c.withColumn("video_url", F.when(F.lower(F.regexp_extract("raw", "^https?://([^/?#]+)", 1)).isin(*VIDEO_HOSTS), F.col("raw")))
+    titles = c.where("page_id % 3 = 0 and video_url is not null").groupBy("video_url").agg(F.concat(F.lit("Video "), F.max("page_id").cast("string")).alias("video_title"))
+    return c.join(titles, "video_url", "left").select("page_id", "video_url", "video_title", F.coalesce("video_title", "video_url", "raw").alias("label"))
 
 
 @query("""SELECT conv_id, turn, list_aggregate(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]{4,}'), lambda x: x NOT IN ('this', 'that'))), 'count') AS refs FROM conversations""")
