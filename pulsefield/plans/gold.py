@@ -15,8 +15,8 @@ from pulsefield.sources import sinks
 #: The reporting tables of each system, by the queries that compute them.
 SYSTEMS = {
     "visits": ("first_seen_funnel", "weekly_kpi", "campaign_health", "collateral_rollup", "period_kpi", "benchmark_percentiles", "in_clinic_rollup", "in_clinic_counts", "state_attention", "rep_insight", "action_rules"),
-    "education": ("education_rollup", "education_clinics", "education_details", "navigation_context", "share_attribution", "banner_attribution", "playback_attribution", "share_funnel", "state_week_rank", "rep_week_rank", "language_mix", "content_ranking"),
-    "screening": ("dashboard_kpis", "doctor_status_report", "rolling_activity", "status_by_day", "clinic_details", "red_flag_rollup", "login_attribution", "course_status_pivot", "certification_min", "window_counts"),
+    "education": ("education_rollup", "education_clinics", "education_details", "navigation_context", "share_funnel", "state_week_rank", "rep_week_rank", "language_mix", "content_ranking"),
+    "screening": ("dashboard_kpis", "doctor_status_report", "rolling_activity", "status_by_day", "clinic_details", "red_flag_rollup", "course_status_pivot", "certification_min", "window_counts"),
 }
 
 
