@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulsefield.llm import decontaminate, lines, mixing, secrets, simhash, substring, tokens, topk, toxicity, warc
+from pulsefield.llm import decontaminate, lines, mixing, quality, secrets, simhash, substring, tokens, topk, toxicity, warc
 
 QUERIES = {
     "op1_scan_secrets": secrets.op1_scan_secrets,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_remove_repeats": substring.op8_remove_repeats,
     "op9_token_shards": tokens.op9_token_shards,
     "op10_exact_topk": topk.op10_exact_topk,
+    "op11_quality_rules": quality.op11_quality_rules,
 }
 
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op7_mix_sources": mixing.OP7_SQL,
     "op8_remove_repeats": substring.OP8_SQL,
     "op10_exact_topk": topk.OP10_SQL,
+    "op11_quality_rules": quality.OP11_SQL,
 }
