@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulsefield.llm import decontaminate, lines, mixing, quality, secrets, simhash, substring, tokens, topk, toxicity, warc
+from pulsefield.llm import clusters, collocations, decontaminate, lines, mixing, quality, secrets, simhash, substring, tokens, topk, toxicity, warc
 
 QUERIES = {
     "op1_scan_secrets": secrets.op1_scan_secrets,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_token_shards": tokens.op9_token_shards,
     "op10_exact_topk": topk.op10_exact_topk,
     "op11_quality_rules": quality.op11_quality_rules,
+    "op12_centroid_clusters": clusters.op12_centroid_clusters,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 SQL = {
@@ -25,4 +27,6 @@ SQL = {
     "op8_remove_repeats": substring.OP8_SQL,
     "op10_exact_topk": topk.OP10_SQL,
     "op11_quality_rules": quality.OP11_SQL,
+    "op12_centroid_clusters": clusters.OP12_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }
