@@ -88,30 +88,57 @@ class Trie:
         rank = np.zeros(len(words) + 1, np.int32)
         rank[[self.numbers[w] for w in words]] = np.arange(1, len(words) + 1)
         ids = np.concatenate([rank[np.concatenate(self.parts)], np.zeros(self.most, np.int32)])
-        at, levels = np.arange(len(ids) - self.most), []
+        self.parts, self.numbers = [], {}
+        at, bits, levels = np.arange(len(ids) - self.most), len(words).bit_length(), []
+        narrow = bits * self.most <= 63
         for depth in range(self.most):
             at = at[ids[at + depth] > 0]  # a zero ends a piece
-            keys = np.zeros((len(at), self.most), np.int32)
-            for d in range(depth + 1):
-                keys[:, d] = ids[at + d]
-            levels.append(merged_nodes(keys, np.ones(len(at), np.int64)))
-        return words, *merged_nodes(np.concatenate([k for k, _ in levels]), np.concatenate([n for _, n in levels]))
-
-
-def encoded(words: list[bytes], keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Nodes as bytes: the words they use, and the planes of bytes of their columns, both compressed."""
+            if narrow:
+                packed = np.zeros(len(at), np.int64)
+                for d in range(self.most):
+                    packed <<= bits
+                    if d <= depth:
+                        packed |= ids[at + d]
+                levels.append(packed)
+            else:
+                keys = np.zeros((len(at), self.most), np.int32)
+                for d in range(depth + 1):
+                    keys[:, d] = ids[at + d]
+                levels.append(keys)
+        whole = np.concatenate(levels)
+        del levels, at
+        if not narrow:
+            return words, *merged_nodes(whole, np.ones(len(whole), np.int64))
+        whole.sort()
+        starts = np.flatnonzero(np.diff(whole, prepend=-1))
+        counts, whole = np.diff(starts, append=len(whole)), whole[starts]
+        keys = np.empty((len(whole), self.most), np.int32)
+        for d in range(self.most):
+            keys[:, d] = whole >> bits * (self.most - 1 - d) & (1 << bits) - 1
+        return words, keys, counts
+
+
+def _planes(columns: np.ndarray) -> bytes:
+    """Whole numbers, the bytes of equal weight side by side, compressed."""
+    return zstandard.compress(np.ascontiguousarray(columns.view(np.uint8).reshape(len(columns), -1).T).tobytes(), 1)
+
+
+def _unplaned(data: bytes, kind: str, width: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize * width, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1, width)
+
+
+def encoded(words: list[bytes], keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Nodes as bytes: the words they use, their numbers among these, and the counts."""
     used = np.unique(keys)
     used = used[used > 0]
-    local = np.where(keys > 0, np.searchsorted(used, keys) + 1, 0)
-    columns = np.column_stack([local, counts]).astype("<u8")
-    planes = np.ascontiguousarray(columns.view(np.uint8).reshape(len(keys), -1).T)
-    return zstandard.compress(b"\n".join(words[i - 1] for i in used.tolist()), 3), zstandard.compress(planes.tobytes(), 3)
+    local = np.where(keys > 0, np.searchsorted(used, keys) + 1, 0).astype("<u4")
+    text = b"\n".join([words[i - 1] for i in used.tolist()])
+    return zstandard.compress(text, 1), _planes(local), _planes(counts.astype("<u8").reshape(-1, 1))
 
 
-def decoded(words: bytes, nodes: bytes, most: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zstandard.decompress(nodes), np.uint8).reshape(8 * (most + 1), -1)
-    columns = np.ascontiguousarray(planes.T).view("<u8").reshape(-1, most + 1)
-    return zstandard.decompress(words).split(b"\n"), columns[:, :most].astype(np.int32), columns[:, most].astype(np.int64)
+def decoded(words: bytes, nodes: bytes, counts: bytes, most: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    return zstandard.decompress(words).split(b"\n"), _unplaned(nodes, "<u4", most).astype(np.int32), _unplaned(counts, "<u8", 1)[:, 0].astype(np.int64)
 
 
 def _path(words: list[bytes], key: np.ndarray) -> tuple[bytes, ...]:
@@ -119,7 +146,7 @@ def _path(words: list[bytes], key: np.ndarray) -> tuple[bytes, ...]:
 
 
 def shard_blocks(docs: DataFrame, lang: Column, text: Column, most: int, shard_words: int, block_nodes: int) -> DataFrame:
-    """lang, head (the words of the first node), n, words and nodes of each block of each shard's tries."""
+    """lang, head (the words of the first node), n, words, nodes and counts of each block of each shard's tries."""
 
     def written(tries: dict[str, Trie]) -> pd.DataFrame:
         out = []
@@ -129,7 +156,7 @@ def shard_blocks(docs: DataFrame, lang: Column, text: Column, most: int, shard_w
                 block = keys[at : at + block_nodes]
                 head = [w.decode("utf-8", "surrogatepass") for w in _path(words, block[0])]
                 out.append((name, head, len(block), *encoded(words, block, counts[at : at + block_nodes])))
-        return pd.DataFrame(out, columns=["lang", "head", "n", "words", "nodes"])
+        return pd.DataFrame(out, columns=["lang", "head", "n", "words", "nodes", "counts"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tries, held = {}, 0
@@ -143,7 +170,7 @@ def shard_blocks(docs: DataFrame, lang: Column, text: Column, most: int, shard_w
         yield written(tries)
 
     rows = docs.select(F.coalesce(lang.cast("string"), F.lit("und")).alias("lang"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "lang string, head array<string>, n long, words binary, nodes binary")
+    return rows.mapInPandas(run, "lang string, head array<string>, n long, words binary, nodes binary, counts binary")
 
 
 def range_bounds(blocks: DataFrame, range_nodes: int, most_heads: int = 200_000) -> dict[str, list[tuple[bytes, ...]]]:
@@ -163,33 +190,33 @@ def range_bounds(blocks: DataFrame, range_nodes: int, most_heads: int = 200_000)
 
 
 def cut_blocks(blocks: DataFrame, bounds: dict[str, list[tuple[bytes, ...]]], most: int) -> DataFrame:
-    """lang, range, words and nodes: the blocks, those that a bound falls into in parts."""
+    """lang, range, words, nodes and counts: the blocks, those that a bound falls into in parts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for name, packed_words, packed in zip(batch["lang"], batch["words"], batch["nodes"], strict=True):
-                words, keys, counts = decoded(packed_words, packed, most)
+            for name, *packed in zip(batch["lang"], batch["words"], batch["nodes"], batch["counts"], strict=True):
+                words, keys, counts = decoded(*packed, most)
                 of_lang = bounds.get(name, [])
                 first = bisect.bisect_right(of_lang, _path(words, keys[0]))
                 last = bisect.bisect_right(of_lang, _path(words, keys[-1]))
                 cuts = [bisect.bisect_left(range(len(keys)), b, key=lambda i, w=words, k=keys: _path(w, k[i])) for b in of_lang[first:last]]
                 if not cuts:
-                    out.append((name, first, packed_words, packed))
+                    out.append((name, first, *packed))
                     continue
                 for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(keys)], strict=True)):
                     if a < b:
                         out.append((name, first + i, *encoded(words, keys[a:b], counts[a:b])))
-            yield pd.DataFrame(out, columns=["lang", "range", "words", "nodes"])
+            yield pd.DataFrame(out, columns=["lang", "range", "words", "nodes", "counts"])
 
-    return blocks.select("lang", "words", "nodes").mapInPandas(run, "lang string, range int, words binary, nodes binary")
+    return blocks.select("lang", "words", "nodes", "counts").mapInPandas(run, "lang string, range int, words binary, nodes binary, counts binary")
 
 
 def merged_ranges(parts: DataFrame, most: int, least: int) -> DataFrame:
     """lang, w (words), f (count) and left (the counts of the node's beginnings) of nodes with f of least or more; beside them a row a range without words, whose f is all words in it."""
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        runs = [decoded(w, n, most) for w, n in zip(group["words"], group["nodes"], strict=True)]
+        runs = [decoded(*part, most) for part in zip(group["words"], group["nodes"], group["counts"], strict=True)]
         words = sorted(set().union(*[r[0] for r in runs]))
         number = {w: i for i, w in enumerate(words, 1)}
         renumbered = [np.array([0, *map(number.__getitem__, r[0])], np.int32)[r[1]] for r in runs]
@@ -243,7 +270,7 @@ _WEAKEST = """array_min(transform(sequence(1, size(w) - 1), k -> named_struct(
 
 def collocations(
     docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most: int = 3, least: int = 10, top: int = 2000, contained: int = 50,
-    shard_words: int = 2_000_000, block_nodes: int = 1 << 16, range_nodes: int = 2_000_000,
+    shard_words: int = 1_000_000, block_nodes: int = 1 << 16, range_nodes: int = 1_000_000,
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's ``top`` phrases of 2 to ``most`` words that occur ``least`` times or more.
 

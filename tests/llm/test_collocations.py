@@ -73,7 +73,7 @@ def test_scores_are_exact_beyond_64_bits(spark):
 def test_blocks_round_trip_and_wide_keys():
     words = [b"a", b"b\x01", "é".encode()]
     keys, counts = np.array([[1, 0, 0], [1, 3, 0], [3, 1, 1]], np.int32), np.array([5, 1, 2**40])
-    got_words, got_keys, got_counts = C.decoded(*C.encoded(words, keys, counts), 3)
+    got_words, got_keys, got_counts = C.decoded(*C.encoded(words, keys, counts), most=3)
     assert [C._path(got_words, k) for k in got_keys] == [C._path(words, k) for k in keys] and got_counts.tolist() == counts.tolist()
     wide = np.array([[2**30, 5, 7], [1, 2**30, 0], [2**30, 5, 7]], np.int32)
     merged, sums = C.merged_nodes(wide, np.array([1, 2, 3]))
