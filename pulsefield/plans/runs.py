@@ -12,12 +12,12 @@ from pulsefield.operators import rows as R
 from pulsefield.plans.base import ACT, activity, query
 from pulsefield.session import table, work_folder
 from pulsefield.sources import ingest as I
-from pulsefield.sources import sinks
+from pulsefield.sources import sinks, snapshots
 
 SPECS = [
-    I.Spec("people", ("people_v2", "customer"), {"c_custkey": "long", "c_name": "string", "c_city": "string"}, ("c_custkey",)),
-    I.Spec("accounts", ("orders",), {"o_orderkey": "long", "o_custkey": "long", "o_orderdate": "date"}, ("o_orderkey",), watermark="o_orderdate", lookback_days=30),
-    I.Spec("purchases", ("events",), {"event_id": "long", "user_id": "long", "event_type": "string"}, ("event_id",), only={"event_type": "purchase"}),
+    I.Spec("people", ("people_v2", "customer"), {"c_custkey": "long", "c_name": "string", "c_city": "string"}, ("c_custkey",), bucket_digits=1),
+    I.Spec("accounts", ("orders",), {"o_orderkey": "long", "o_custkey": "long", "o_orderdate": "date"}, ("o_orderkey",), watermark="o_orderdate", lookback_days=30, bucket_digits=1),
+    I.Spec("purchases", ("events",), {"event_id": "long", "user_id": "long", "event_type": "string"}, ("event_id",), only={"event_type": "purchase"}, bucket_digits=1),
     I.Spec("visits", ("visits_v2",), {"id": "long"}, ("id",), required=False),
 ]
 
@@ -52,11 +52,43 @@ def ingest_status(spark, sf_dir):
 def current_snapshot(spark, sf_dir):
     """The raw rows whose key the latest snapshot of their source has."""
     root = _two_runs(spark, sf_dir)
-    raw, snapshot = spark.read.parquet(f"{root}/raw/purchases"), spark.read.parquet(f"{root}/snapshots/purchases")
+    raw, snapshot = spark.read.parquet(f"{root}/raw/purchases"), snapshots.current(spark, f"{root}/snapshots/purchases")
     key = I.snapshot_key(("event_id",), ["event_id", "user_id", "event_type"])
     return raw.withColumn("row_key", key).join(snapshot.select("row_key", "run_id"), "row_key").select("event_id", "run_id", "row_key")
 
 
+MOVING = I.Spec("moving", ("orders",), {"o_orderkey": "long", "o_custkey": "long", "o_orderdate": "date", "deleted": "boolean"}, ("o_orderkey",), watermark="o_orderdate", lookback_days=30, gone="deleted", bucket_digits=1)
+
+
+def _moving_runs(spark: SparkSession, sf_dir: str) -> str:
+    """A whole read and then one by watermark, in which the source says of every eleventh order that it is deleted."""
+    root = work_folder(spark, "ingest")
+    orders = table(spark, sf_dir, "orders")
+    for i, (run, deleted) in enumerate((("r1", F.lit(False)), ("r2", F.col("o_orderkey") % 11 == 0))):
+        I.ingest(spark, [MOVING], lambda name, d=deleted: orders.withColumn("deleted", d), root, run, dt.datetime(2024, 1, 31, i))
+    return root
+
+
+DELTA = """o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) >= (SELECT CAST(max(o_orderdate) AS DATE) FROM orders) - 30 AS again, 'b' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 1) AS bucket FROM orders)"""
+
+
+@query(f"""WITH {DELTA} SELECT o_orderkey, CASE WHEN again THEN 'r2' ELSE 'r1' END AS run_id FROM o WHERE NOT (again AND o_orderkey % 11 = 0)""")
+def snapshot_after_delta(spark, sf_dir):
+    """The orders that are there after a delta of thirty days: all of the whole read, without those that the delta says are deleted."""
+    root = _moving_runs(spark, sf_dir)
+    return snapshots.current(spark, f"{root}/snapshots/moving").select(F.col("row_key").cast("long").alias("o_orderkey"), "run_id")
+
+
+@query(f"""WITH {DELTA} SELECT bucket, CAST(count(*) FILTER (WHERE NOT (again AND o_orderkey % 11 = 0)) AS BIGINT) AS keys, bool_or(again) AS rewritten, CAST(1 AS BIGINT) AS writes FROM o GROUP BY bucket HAVING keys > 0""")
+def snapshot_compaction(spark, sf_dir):
+    """The buckets after compaction: their keys, whether they were rewritten, which only those that the delta touched are, and of how many writes they are made."""
+    folder = f"{_moving_runs(spark, sf_dir)}/snapshots/moving"
+    rewritten = snapshots.compact(spark, folder)
+    made = [(b, b in set(rewritten), len(parts)) for b, parts in snapshots.manifest(spark, folder)["buckets"].items()]
+    counts = snapshots.current(spark, folder).groupBy("bucket").agg(F.count("*").alias("keys"))
+    return counts.join(spark.createDataFrame(made, "bucket string, rewritten boolean, writes long"), "bucket").select("bucket", "keys", "rewritten", "writes")
+
+
 @query(f"""WITH {ACT} SELECT lower(campaign) AS campaign_token, count(*) AS n, count(DISTINCT CASE doctor % 2 WHEN 0 THEN campaign ELSE lower(campaign) || '-' END) AS spellings FROM act WHERE campaign <> 'C2' GROUP BY 1""")
 def published_campaigns(spark, sf_dir):
     """Two runs are published; the second lacks a campaign, of which nothing is left. Spellings of a campaign share a partition."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,18 +33,29 @@ def write_run(tables: dict[str, DataFrame], root: str, run_id: str) -> dict[str,
     return paths
 
 
-def point_to(spark: SparkSession, root: str, run_id: str) -> None:
-    """Make a run the published one. The pointer is written beside and moved over the old one, so a reader always finds a whole one."""
+def replace_file(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file beside its old version and move it over that, so a reader always finds a whole one."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     hadoop = jvm.org.apache.hadoop.fs
-    pointer, beside = hadoop.Path(f"{root}/CURRENT"), hadoop.Path(f"{root}/CURRENT.{run_id}")
-    files = pointer.getFileSystem(conf)
+    place, beside = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}")
+    files = place.getFileSystem(conf)
     out = files.create(beside, True)
-    out.write(bytearray(run_id.encode()))
+    out.write(bytearray(text.encode()))
     out.close()
-    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    hadoop.FileContext.getFileContext(files.getUri(), conf).rename(files.makeQualified(beside), files.makeQualified(pointer), overwrite)
+    overwrite = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    overwrite[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(files.getUri(), conf).rename(files.makeQualified(beside), files.makeQualified(place), overwrite)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a run made."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def point_to(spark: SparkSession, root: str, run_id: str) -> None:
+    """Make a run the published one."""
+    replace_file(spark, f"{root}/CURRENT", run_id)
 
 
 def publish(tables: dict[str, DataFrame], root: str, run_id: str) -> dict[str, str]:
