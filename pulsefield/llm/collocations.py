@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -148,29 +149,31 @@ def _path(words: list[bytes], key: np.ndarray) -> tuple[bytes, ...]:
 def shard_blocks(docs: DataFrame, lang: Column, text: Column, most: int, shard_words: int, block_nodes: int) -> DataFrame:
     """lang, head (the words of the first node), n, words, nodes and counts of each block of each shard's tries."""
 
-    def written(tries: dict[str, Trie]) -> pd.DataFrame:
-        out = []
+    kinds = [pa.string(), pa.list_(pa.string()), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+    def written(tries: dict[str, Trie]) -> Iterator[pa.RecordBatch]:
         for name, trie in tries.items():
             words, keys, counts = trie.nodes()
             for at in range(0, len(keys), block_nodes):
                 block = keys[at : at + block_nodes]
                 head = [w.decode("utf-8", "surrogatepass") for w in _path(words, block[0])]
-                out.append((name, head, len(block), *encoded(words, block, counts[at : at + block_nodes])))
-        return pd.DataFrame(out, columns=["lang", "head", "n", "words", "nodes", "counts"])
+                row = (name, head, len(block), *encoded(words, block, counts[at : at + block_nodes]))
+                yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], ["lang", "head", "n", "words", "nodes", "counts"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries, held = {}, 0
         for batch in batches:
-            for name, whole in zip(batch["lang"], batch["text"], strict=True):
+            for row in range(batch.num_rows):  # a text at a time: a batch of them as Python strings would be the most that a task holds
+                name, whole = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
                 for part in text_parts(whole):
                     held += tries.setdefault(name, Trie(most)).read(part)
                     if held >= shard_words:
-                        yield written(tries)
+                        yield from written(tries)
                         tries, held = {}, 0
-        yield written(tries)
+        yield from written(tries)
 
     rows = docs.select(F.coalesce(lang.cast("string"), F.lit("und")).alias("lang"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "lang string, head array<string>, n long, words binary, nodes binary, counts binary")
+    return rows.mapInArrow(run, "lang string, head array<string>, n long, words binary, nodes binary, counts binary")
 
 
 def range_bounds(blocks: DataFrame, range_nodes: int, most_heads: int = 200_000) -> dict[str, list[tuple[bytes, ...]]]:
@@ -192,24 +195,28 @@ def range_bounds(blocks: DataFrame, range_nodes: int, most_heads: int = 200_000)
 def cut_blocks(blocks: DataFrame, bounds: dict[str, list[tuple[bytes, ...]]], most: int) -> DataFrame:
     """lang, range, words, nodes and counts: the blocks, those that a bound falls into in parts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
+    def pieces(name: str, *packed: bytes) -> Iterator[tuple]:
+        words, keys, counts = decoded(*packed, most)
+        of_lang = bounds.get(name, [])
+        first = bisect.bisect_right(of_lang, _path(words, keys[0]))
+        last = bisect.bisect_right(of_lang, _path(words, keys[-1]))
+        cuts = [bisect.bisect_left(range(len(keys)), b, key=lambda i: _path(words, keys[i])) for b in of_lang[first:last]]
+        if not cuts:
+            yield name, first, *packed
+            return
+        for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(keys)], strict=True)):
+            if a < b:
+                yield name, first + i, *encoded(words, keys[a:b], counts[a:b])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for name, *packed in zip(batch["lang"], batch["words"], batch["nodes"], batch["counts"], strict=True):
-                words, keys, counts = decoded(*packed, most)
-                of_lang = bounds.get(name, [])
-                first = bisect.bisect_right(of_lang, _path(words, keys[0]))
-                last = bisect.bisect_right(of_lang, _path(words, keys[-1]))
-                cuts = [bisect.bisect_left(range(len(keys)), b, key=lambda i, w=words, k=keys: _path(w, k[i])) for b in of_lang[first:last]]
-                if not cuts:
-                    out.append((name, first, *packed))
-                    continue
-                for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(keys)], strict=True)):
-                    if a < b:
-                        out.append((name, first + i, *encoded(words, keys[a:b], counts[a:b])))
-            yield pd.DataFrame(out, columns=["lang", "range", "words", "nodes", "counts"])
-
-    return blocks.select("lang", "words", "nodes", "counts").mapInPandas(run, "lang string, range int, words binary, nodes binary, counts binary")
+            for row in range(batch.num_rows):
+                out = zip(*pieces(*[c[row].as_py() for c in batch.columns]), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], ["lang", "range", "words", "nodes", "counts"])
+
+    return blocks.select("lang", "words", "nodes", "counts").mapInArrow(run, "lang string, range int, words binary, nodes binary, counts binary")
 
 
 def merged_ranges(parts: DataFrame, most: int, least: int) -> DataFrame:
