@@ -245,3 +245,22 @@ def reporting_window(start: Column, end: Column) -> Column:
     a, b = pretty_date(start), pretty_date(end)
     both = F.when((a != "") & (b != ""), F.concat(a, F.lit(" to "), b))
     return F.coalesce(both, F.nullif(a, F.lit("")), F.nullif(b, F.lit("")), F.lit("No dated activity yet"))
+
+
+#: The namespace of ids that are made of names, and the words that stand for nothing in these names.
+ID_NAMESPACE = "8a2f1b96bf9c47e3a2c63c4eb266a2e2"
+ID_NULL_WORDS = ("null", "none")
+
+
+def id_part(c: Column) -> Column:
+    """Text without outer blanks, empty for null and the words for nothing."""
+    t = F.coalesce(F.trim(c.cast("string")), F.lit(""))
+    return F.when(F.lower(t).isin(*ID_NULL_WORDS), "").otherwise(t)
+
+
+def stable_uuid(kind: str, *parts: Column) -> Column:
+    """A version 5 UUID of the parts joined by colons, in 32 hexadecimal digits: equal parts have equal ids on any system, without a registry."""
+    name = F.concat_ws(":", F.lit(kind), *[id_part(p) for p in parts])
+    digest = F.sha1(F.concat(F.unhex(F.lit(ID_NAMESPACE)), F.encode(name, "UTF-8")))
+    variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab" * 4)
+    return F.concat(F.substring(digest, 1, 12), F.lit("5"), F.substring(digest, 14, 3), variant, F.substring(digest, 18, 15))
