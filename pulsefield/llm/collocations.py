@@ -277,7 +277,7 @@ _WEAKEST = """array_min(transform(sequence(1, size(w) - 1), k -> named_struct(
 
 def collocations(
     docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most: int = 3, least: int = 10, top: int = 2000, contained: int = 50,
-    shard_words: int = 1_000_000, block_nodes: int = 1 << 16, range_nodes: int = 400_000,
+    shard_words: int = 1_000_000, block_nodes: int = 1 << 14, range_nodes: int = 400_000,
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's ``top`` phrases of 2 to ``most`` words that occur ``least`` times or more.
 
