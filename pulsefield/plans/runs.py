@@ -12,7 +12,7 @@ from pulsefield.operators import rows as R
 from pulsefield.plans.base import ACT, activity, query
 from pulsefield.session import table, work_folder
 from pulsefield.sources import ingest as I
-from pulsefield.sources import sinks, snapshots
+from pulsefield.sources import api, sinks, snapshots
 
 SPECS = [
     I.Spec("people", ("people_v2", "customer"), {"c_custkey": "long", "c_name": "string", "c_city": "string"}, ("c_custkey",), bucket_digits=1),
@@ -89,6 +89,45 @@ def snapshot_compaction(spark, sf_dir):
     return counts.join(spark.createDataFrame(made, "bucket string, rewritten boolean, writes long"), "bucket").select("bucket", "keys", "rewritten", "writes")
 
 
+#: How an audience's pages are made of customers: the action, its entity, and the customers that the first pull and a later, broken one see.
+PAGE = 100
+REGISTRATIONS = I.Spec("webinar_registrations", ("webinar_registrations",), {"registration_id": "long", "full_name": "string", "segment": "string", "payload_json": "string"}, ("registration_id",), guarded=True, bucket_digits=1)
+
+
+def _fixtures(spark: SparkSession, sf_dir: str, folder: str, where: str, fails: int) -> None:
+    """Pages of a hundred customers; the answers to the first attempts at the second page are broken."""
+    c = table(spark, sf_dir, "customer").where(where)
+    last = c.agg((F.floor(F.max("c_custkey") / PAGE) + 1).alias("pages"), F.lit(1).alias("one"))
+    item = F.to_json(F.struct(F.col("c_custkey").alias("registration_id"), F.col("c_name").alias("full_name"), F.col("c_mktsegment").alias("segment")))
+    rows = c.withColumn("one", F.lit(1)).join(F.broadcast(last), "one").select((F.floor(F.col("c_custkey") / PAGE) + 1).cast("int").alias("page"), "pages", item.alias("payload"))
+    api.write_fixtures(rows, folder, "webinar_registrations")
+    for attempt in range(fails):
+        sinks.replace_file(spark, f"{folder}/webinar_registrations_2.failed{attempt}", "")
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM customer), f AS (SELECT unnest(['r1', 'r2', 'r3', 'r4']) AS run_id)
+SELECT run_id, CASE WHEN run_id IN ('r1', 'r4') THEN 'SUCCESS' ELSE 'FAILED' END AS status, CASE WHEN run_id IN ('r1', 'r4') THEN n ELSE 0 END AS rows_read, CASE WHEN run_id = 'r1' THEN n ELSE 0 END AS rows_new,
+  CASE run_id WHEN 'r2' THEN 'stale' WHEN 'r3' THEN 'unreadable' ELSE 'none' END AS reason, n AS keys_after FROM f, n""")
+def api_ingest(spark, sf_dir):
+    """Four pulls of a paged source: one with broken answers that are asked for again, one far too small, one that stays broken, and a whole one.
+
+    The second and third change nothing: raw rows and snapshot stay as they were.
+    """
+    root, keys = work_folder(spark, "api"), []
+    pulls = (("r1", "true", 2), ("r2", f"c_custkey < {PAGE // 10}", 0), ("r3", "true", 9), ("r4", "true", 0))
+    for i, (run, where, fails) in enumerate(pulls):
+        _fixtures(spark, sf_dir, f"{root}/fixtures/{run}", where, fails)
+
+        def read(action: str, run: str = run) -> DataFrame:
+            return api.columns_of(api.read_api(spark, action, fixtures=f"{root}/fixtures/{run}", retries=3, wait=0.01), "registration_id long, full_name string, segment string")
+
+        I.ingest(spark, [REGISTRATIONS], read, root, run, dt.datetime(2024, 1, 31, i))
+        keys.append((run, snapshots.current(spark, f"{root}/snapshots/webinar_registrations").count()))
+    reason = F.when(F.col("error").contains("look stale"), "stale").when(F.col("error").contains("can't be read"), "unreadable").otherwise("none")
+    log = spark.read.parquet(f"{root}/log").select("run_id", "status", "rows_read", "rows_new", reason.alias("reason"))
+    return log.join(spark.createDataFrame(keys, "run_id string, keys_after long"), "run_id")
+
+
 @query(f"""WITH {ACT} SELECT lower(campaign) AS campaign_token, count(*) AS n, count(DISTINCT CASE doctor % 2 WHEN 0 THEN campaign ELSE lower(campaign) || '-' END) AS spellings FROM act WHERE campaign <> 'C2' GROUP BY 1""")
 def published_campaigns(spark, sf_dir):
     """Two runs are published; the second lacks a campaign, of which nothing is left. Spellings of a campaign share a partition."""

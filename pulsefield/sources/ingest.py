@@ -32,6 +32,7 @@ class Spec:
     """What an entity is read from: the first source and its fall-backs, columns (name: type), keys, and what limits the rows.
 
     only: equalities that hold for the first source, a table of several kinds, and not for the others.
+    guarded: a read that is too small beside the last one that succeeded fails, and changes nothing.
     gone: a column that marks rows which the source has deleted. With a watermark, only the first run reads the whole source; the others merge
     what they read into its snapshot. ``whole`` makes every run read all. bucket_digits: the snapshot has 16 to this power of buckets.
     """
@@ -47,6 +48,7 @@ class Spec:
     gone: str | None = None
     whole: bool = False
     bucket_digits: int = 2
+    guarded: bool = False
 
 
 Reader = Callable[[str], DataFrame]
@@ -118,6 +120,12 @@ def previous_rows(log: DataFrame, step: str, run_id: str) -> int | None:
     return row.rows_new if row else None
 
 
+def last_rows_read(log: DataFrame, step: str) -> int | None:
+    """How many rows the last read of a step that succeeded gave."""
+    row = log.where((F.col("step") == step) & (F.col("status") == "SUCCESS")).orderBy(F.desc("at"), F.desc("run_id")).select("rows_read").first()
+    return row.rows_read if row else None
+
+
 def new_payloads(stored: DataFrame, incoming: DataFrame, columns: list[str]) -> DataFrame:
     """The incoming rows, once each, whose payload and source aren't stored yet, with ``_append_hash``.
 
@@ -153,6 +161,8 @@ def ingest(spark: SparkSession, specs: list[Spec], read: Reader, root: str, run_
         try:
             rows, errors = extract(spec, read, last, hold, lambda action: with_retries(action, times, wait))
             n = rows.count()
+            if spec.guarded and stale(n, last_rows_read(log_before, spec.name)):
+                raise ValueError(f"{spec.name}: {n} rows look stale beside the last read")
             audited(new_payloads(old, rows, columns), run_id, system, None, at).write.mode("append").parquet(path)
             gone = F.lower(trimmed(F.col(spec.gone).cast("string"))).isin("true", "1", "t", "yes", "y") if spec.gone else F.lit(False)
             keys = rows.select(snapshot_key(spec.keys, columns).alias("row_key"), F.col("_source_table").alias("source"), gone.alias("gone"))
