@@ -95,13 +95,13 @@ def paged_rows(spark, sf_dir):
     return top.withColumn("page_row", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long")).where("page_row > 50").drop("o_totalprice")
 
 
-@query(f"""WITH {SEEN}, {DOC}, s AS (SELECT state, CASE WHEN count(x.doctor) > 0 THEN count(x.reached) * 100.0::DOUBLE / count(*) END AS health FROM doc LEFT JOIN seen x ON x.doctor = doc.doctor GROUP BY state) SELECT state, round(health, 6) AS health, row_number() OVER (ORDER BY health ASC NULLS LAST, state) AS rank FROM s ORDER BY rank LIMIT 50""")
+@query(f"""WITH {SEEN}, {DOC}, s AS (SELECT state, CASE WHEN count(x.doctor) > 0 THEN count(x.reached) * 100.0::DOUBLE / count(*) END AS health FROM doc LEFT JOIN seen x ON x.doctor = doc.doctor GROUP BY state) SELECT state, round(health, 6) AS health, row_number() OVER (ORDER BY health ASC NULLS LAST, state) AS rank FROM s""")
 def attention_rank(spark, sf_dir):
     seen = M.first_seen(activity(spark, sf_dir), ["campaign", "collateral", "doctor"])
     s = doctors(spark, sf_dir).join(seen, "doctor", "left").groupBy("state").agg(F.count("campaign").alias("n"), F.count("reached").alias("r"), F.count("*").alias("rows"))
     s = s.withColumn("health", F.when(F.col("n") > 0, percent(F.col("r"), F.col("rows"))))
     order = [F.asc_nulls_last("health"), F.col("state")]
-    return s.orderBy(*order).limit(50).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).select("state", F.round("health", 6).alias("health"), "rank")
+    return s.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).select("state", F.round("health", 6).alias("health"), "rank")
 
 
 @query(f"""WITH {ACT}, a AS (SELECT DISTINCT doctor FROM act WHERE event_type = 'click' AND k < 30), b AS (SELECT DISTINCT doctor FROM act WHERE event_type = 'view' AND k > 60) SELECT 'both' AS part, doctor FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'first_only', doctor FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
