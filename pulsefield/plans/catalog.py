@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pulsefield.plans import attribution, base, clinics, details, dimensions, facts, gold, identity, kpis, migration, people, records, reports, rollups, runs
+from pulsefield.plans import attribution, base, clinics, details, dimensions, facts, gold, identity, kpis, migration, people, records, reports, rollups, runs, visibility
 
-MODULES = (kpis, people, records, dimensions, reports, facts, clinics, rollups, attribution, runs, details, gold, identity, migration)
+MODULES = (kpis, people, records, dimensions, reports, facts, clinics, rollups, attribution, runs, details, gold, identity, migration, visibility)
 
 
 def queries() -> dict:
