@@ -12,12 +12,48 @@ from pyspark.sql import functions as F
 from pulsefield.functions.text import TRUE_WORDS, row_hash
 
 
-def read_jdbc(spark: SparkSession, url: str, relation: str, split_by: str | None = None, bounds: tuple[int, int] = (0, 1), parts: int = 1, **options: str) -> DataFrame:
-    """A database table; with a numeric column to split by, in parallel ranges. Filters and columns are pushed down."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=relation, fetchsize="1000", **options)
-    if split_by:
-        reader = reader.options(partitionColumn=split_by, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(parts))
-    return reader.load()
+def key_bounds(spark: SparkSession, url: str, relation: str, key: str, parts: int, bins: int = 256, **options: str) -> list[int]:
+    """Values of a whole-number key at which ranges of about equal numbers of rows begin, without the first; fewer than parts - 1 if single keys hold more.
+
+    The database counts the rows of ``bins`` equal spans of keys, and counts again inside each span that holds too many, so what comes here is some histograms
+    and never the keys, however skewed they are.
+    """
+    source = spark.read.format("jdbc").options(url=url, **options)
+    ends = source.option("query", f"SELECT MIN({key}) AS lo, MAX({key}) AS hi, COUNT({key}) AS n FROM {relation}").load().first()
+    lo, hi, total = (None if v is None else int(v) for v in ends)
+    if lo is None or parts < 2:
+        return []
+    share, spans, done = total / parts, [(lo, hi, total)], []
+    while spans:
+        a, b, n = spans.pop()
+        width = -(-(b - a + 1) // bins)
+        if n <= share / 4 or a == b:
+            done.append((a, n))
+            continue
+        sql = f"SELECT bin, COUNT(*) AS n FROM (SELECT FLOOR(({key} - {a}) / {width}) AS bin FROM {relation} WHERE {key} BETWEEN {a} AND {b}) x GROUP BY bin"
+        for bin_, rows in source.option("query", sql).load().collect():  # at most bins rows
+            start = a + int(bin_) * width
+            spans.append((start, min(start + width - 1, b), int(rows)))
+    bounds, held = [], 0
+    for start, n in sorted(done):
+        if held and held + n > share:
+            bounds.append(start)
+            held = 0
+        held += n
+    return bounds
+
+
+def read_jdbc(spark: SparkSession, url: str, relation: str, split_by: str | None = None, parts: int = 1, **options: str) -> DataFrame:
+    """A database table; with a whole-number column to split by, in parallel ranges of about equal numbers of rows. Filters and columns are pushed down."""
+    own = {"fetchsize": "1000"} | options
+    if split_by is None or parts < 2:
+        return spark.read.format("jdbc").options(url=url, dbtable=relation, **own).load()
+    bounds = key_bounds(spark, url, relation, split_by, parts, **options)
+    ranges = [f"{split_by} >= {a} AND {split_by} < {b}" for a, b in zip(bounds, bounds[1:], strict=False)]
+    if not bounds:
+        return spark.read.format("jdbc").options(url=url, dbtable=relation, **own).load()
+    predicates = [f"{split_by} < {bounds[0]} OR {split_by} IS NULL", *ranges, f"{split_by} >= {bounds[-1]}"]
+    return spark.read.jdbc(url, relation, predicates=predicates, properties=own)
 
 
 def projected(df: DataFrame, columns: dict[str, str], watermark: str | None = None, start: dt.date | None = None, current: str | None = None) -> DataFrame:
