@@ -31,11 +31,6 @@ def build(spark: SparkSession, sf_dir: str, system: str, root: str, run_id: str)
     return {name: sinks.published(spark, root, name) for name in (*tables, "refresh_status")}
 
 
-def context(tables: dict[str, DataFrame]) -> dict[str, dict]:
-    """What a report page shows: the first row of each small published table, by its name."""
-    return {name: row.asDict() for name, df in tables.items() if (row := df.first()) is not None}
-
-
 def _counted(tables: dict[str, DataFrame]) -> DataFrame:
     parts = [df.select(F.lit(name).alias("name")) for name, df in tables.items() if name != "refresh_status"]
     return reduce(lambda a, b: a.unionByName(b), parts).groupBy("name").agg(F.count("*").alias("n"))
