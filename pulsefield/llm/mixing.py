@@ -17,8 +17,8 @@ sums are taken in hash-range buckets, then over the buckets, so no task sees a w
 
 Edge cases: a null text has size 0 and is never drawn. Rows that repeat id, source and size are
 counted before the buckets are formed, so many copies don't gather in one; each yields
-its own row, numbered a part of the input at a time. A null source is a source. The draw that crosses the target is cut, so a source's
-taken words are its target rounded to a whole number. An empty table yields no rows.
+its own row, numbered a part of the input at a time. A null source is a source. The draw that crosses the target counts in part, so a source's
+taken words are its target rounded to a whole number; mixed_documents() takes that document whole or not at all. An empty table yields no rows.
 """
 
 from __future__ import annotations
@@ -142,7 +142,8 @@ def mixed_documents(
 ) -> DataFrame:
     """The rows of docs as the mix draws them, a row per draw; ``draw`` has its pass, words and position.
 
-    The columns of docs are under ``row``; a draw that was cut keeps so many words of the text, which is replaced in ``row``.
+    The columns of docs are under ``row``. Documents stay whole: of the draw that crosses a source's target, one a source, the document is taken if the
+    target has half of it or more, else it is left out, so a source's words are within half that document of its target.
     Rows are numbered once and matched to the mix without their texts, which are shuffled once, to their draws.
     """
     numbered = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct("*").alias("row")), "rows")
@@ -160,9 +161,9 @@ def mixed_documents(
     copies = copies.select("id", "skey", "snull", "size", "rid", (F.col("inside") + F.coalesce("offset", F.lit(0))).cast("long").alias("copy"))
     drawn = mix.where(F.size("draws") > 0).select(F.struct("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("skey"), F.col("source").isNull().alias("snull"), "size", "copy", "draws")
     taken = materialize(copies.join(drawn, ["id", "skey", "snull", "size", "copy"]).select("rid", "size", "draws"), "draws")
-    joined = numbered.join(taken, "rid").select("row", "size", F.explode("draws").alias("draw"))
-    text = F.when(F.col("draw.words") < F.col("size"), F.array_join(F.slice(words(F.col("row")[text_col]), 1, F.col("draw.words").cast("int")), " ")).otherwise(F.col("row")[text_col])
-    return joined.select(F.col("row").withField(text_col, text).alias("row"), "draw")
+    whole = F.col("draw.words") * 2 >= F.col("size")
+    joined = numbered.join(taken, "rid").select("row", "size", F.explode("draws").alias("draw")).where(whole)
+    return joined.select("row", F.col("draw").withField("words", F.col("size")).alias("draw"))
 
 
 def training_order(mix: DataFrame) -> DataFrame:
