@@ -126,11 +126,8 @@ best AS (SELECT ev, cand, max(score) AS score FROM cand GROUP BY ev, cand), top
   SELECT doctor AS ev, CASE WHEN n = 1 THEN cand END AS cand, score, CASE WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status FROM doc LEFT JOIN r ON r.ev = doc.doctor""")
 def scored_identity(spark, sf_dir):
     d = doctors(spark, sf_dir).select("doctor", email_loose(F.col("email")).alias("email"), "phone", "rep")
-    side = d.select(F.col("doctor").alias("cand"), F.col("email").alias("c_email"), F.col("phone").alias("c_phone"), F.col("rep").alias("c_rep"))
-    one = d.join(side, F.col("email") == F.col("c_email")).select(F.col("doctor").alias("ev"), "cand", F.lit(95).alias("score"))
-    two = d.join(side, F.col("phone") == F.col("c_phone")).select(F.col("doctor").alias("ev"), "cand", (F.lit(90) + F.when(F.col("rep") == F.col("c_rep"), 5).otherwise(0)).alias("score"))
-    found = J.scored_candidates(one.unionByName(two), "ev", "cand", "score")
-    return d.select(F.col("doctor").alias("ev")).join(found, "ev", "left").fillna("missing", ["status"])
+    people = d.withColumnRenamed("doctor", "cand")
+    return J.scored_matches(d.withColumnRenamed("doctor", "ev"), people, "ev", "cand", [(95, ["email"]), (95, ["phone", "rep"]), (90, ["phone"])])
 
 
 DIMS = """ev AS (SELECT o_orderkey AS ev, o_custkey // 3 AS id, CAST(o_orderdate AS DATE) AS at_d FROM orders), dim AS (SELECT p_partkey AS dim, p_partkey // 3 AS id, DATE '1995-01-01' + CAST(p_partkey * 37 % 2400 AS INTEGER) AS start_d, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE DATE '1995-01-01' + CAST(p_partkey * 37 % 2400 + 200 AS INTEGER) END AS end_d FROM part)"""
