@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulsefield.plans import attribution, base, cleanup, clinics, context, details, dimensions, facts, gold, identity, kpis, migration, people, records, reports, rollups, runs, visibility
+from pulsefield.plans import aliases, attribution, base, cleanup, clinics, context, details, dimensions, facts, gold, identity, kpis, migration, people, records, reports, rollups, runs, visibility
 
 MODULES = (kpis, people, records, dimensions, reports, facts, clinics, rollups, attribution, runs, details, gold, identity, migration, visibility, cleanup, context)
 
