@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import operator
 import random
 import zlib
 from collections import Counter
@@ -199,6 +200,22 @@ def test_topk_of_empty_and_large_vectors(spark):
             best(rows)
 
 
+def test_topk_rows_of_one_id_and_of_none(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    vectors = [(i % 40 * 25, [float(x) for x in rng.integers(-3, 4, 6) / 4]) for i in range(90)]  # ids in several rows, of differing vectors
+    vectors += [(None, [1.0] * 6), (None, [-1.0] * 6), (None, None), (2**60 + 1, [1.0] * 6), (-100, [0.5] * 6), (7, [float("nan")] * 6)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = [(i, np.floor(1024 * np.array(v)).astype(int).tolist()) for i, v in vectors if v is not None and np.isfinite(v).all()]
+    want = []
+    for a, (i, q) in enumerate(rows):
+        if i is not None and i % 100 == 0:
+            scored = sorted((-sum(map(operator.mul, q, v)), j is None, j or 0) for b, (j, v) in enumerate(rows) if b != a)[:10]
+            want += [(i, n, None if none else j, -s) for n, (s, none, j) in enumerate(scored, 1)]
+    got = [tuple(r) for r in topk.op10_exact_topk(spark, str(tmp_path)).collect()]
+    assert Counter(got) == Counter(want)
+    assert any(r[2] is None for r in got) and any(r[0] == r[2] for r in got)
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 501), (600, 600)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "u long, v long")).collect()))
