@@ -9,15 +9,16 @@ run). Kind ``random`` comes from the battery, over runs of at least ``least`` le
    (vowels, common, rare and other letters, digits, signs), the number of runs of a character class, and the lag-1 correlation of
    alphabet places. The Cauchy combination, which holds under dependence, makes one probability of them.
 3. The null of a discovery is an ordinary run. ``ordinary_fit`` makes ordinary runs of the corpus's own words (compounds, paths,
-   identifiers, words with numbers) in each encoding at several lengths, from a bounded sample, and fits location and lower tail
-   of y = sqrt(-ln p) of step 2 by length. A run's probability is that of an ordinary run of its length looking so uniform; short runs
+   identifiers, words with numbers) in each encoding at several lengths, from every whole document, and fits location and lower tail
+   of y = sqrt(-ln p) of step 2 by length, from counts of y in bins. A run's probability is that of an ordinary run of its length looking so uniform; short runs
    can't reach small ones.
 4. False discoveries are controlled over all runs of the table by the weighted Benjamini-Hochberg step-up at level
    ``rate``, a run weighing in proportion to its length up to ``full`` characters, with mean weight 1. The runs are
    counted in bins of log10(p / weight), each read at its upper edge, so the driver sees one number.
 
-All of it is DataFrame expressions; texts are scanned once, whole, and nothing but the bins is shuffled. The sample of step 3 is
-``sample_docs`` documents of at least 60 words, by a hash of their text, 480 words of each at most.
+All of it is DataFrame expressions; texts are scanned whole, once for step 3 and once for the rest, and nothing but the bins is shuffled.
+A document's words are dealt out to step 3 in pieces of PIECE_WORDS, the last one shorter; each makes one run, whose encoding and length its hash chooses.
+Runs under test make no words for it, or secrets would widen the null that they are held against.
 
 Edge cases: null and empty texts have no spans. Spans count code points, ends exclusive. Repeated rows are documents of their
 own. Spans of different kinds may overlap. A corpus with too few Latin words for the fit uses DEFAULT_FIT. An empty table yields no rows.
@@ -27,10 +28,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulsefield.llm.common import materialize, table
+from pulsefield.llm.common import materialize, release, table
 
 #: Fixed patterns, by kind.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -43,6 +44,8 @@ PIECE = 1024
 BINS = 4000
 VOWELS, COMMON, RARE, OTHER = "aeiou", "dhlnrst", "jkqvwxyz", "bcfgmp"
 LOWER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Words that make one ordinary run, and bins of y in which such runs are counted, a unit.
+PIECE_WORDS, Y_BINS = 30, 1000
 #: Per encoding its alphabet, the bins of the chi-squared test and the character classes of the runs test, as symbols. All but base64
 #: are tested in lower case, base64 with + and / for - and _.
 ENCODINGS = {
@@ -54,8 +57,8 @@ ENCODINGS = {
 }
 #: Lengths at which ordinary runs are made, and the longest at which y still grows with length.
 LENGTHS = (20, 26, 34, 46, 64, 96)
-#: Mean and lower-tail deviation of y as linear functions of sqrt(length): the fit on 1,000 documents of the sf0.1 table.
-DEFAULT_FIT = {"hex": (0.2, 0.45, 0.4, 0.0), "letters": (0.157, 0.556, 0.462, 0.024), "base32": (0.451, 0.471, 0.366, 0.025), "base36": (0.365, 0.52, 0.348, 0.043), "base64": (1.077, 0.665, 0.844, 0.016)}
+#: Mean and lower-tail deviation of y as linear functions of sqrt(length): the fit on all documents of the sf0.1 table.
+DEFAULT_FIT = {"hex": (0.402, 0.382, 0.345, -0.008), "letters": (0.15, 0.559, 0.343, 0.043), "base32": (0.433, 0.474, 0.343, 0.033), "base36": (0.387, 0.509, 0.32, 0.047), "base64": (1.01, 0.674, 0.83, 0.022)}
 
 
 def running(lengths: Column) -> Column:
@@ -166,16 +169,13 @@ def inferred(m: Column) -> Column:
     return hit.when(m.rlike("^[A-Z2-7]+=*$"), "base32").when(m.rlike("^([a-z0-9]+|[A-Z0-9]+)$"), "base36").otherwise("base64")
 
 
-def ordinary_runs(docs: DataFrame, text_col: str, sample_docs: int) -> DataFrame:
-    """encoding, n and run: ordinary runs made of the words of a bounded sample of documents."""
+def ordinary_runs(docs: DataFrame, text_col: str, least: int = 20) -> DataFrame:
+    """encoding, n and run: ordinary runs made of the words of all documents outside the runs of ``least`` key characters, which are tested."""
     text = F.col(text_col).cast("string")
-    total = docs.where(text.isNotNull()).count()
-    tie = F.xxhash64(text)
-    chosen = docs.where(text.isNotNull() & (F.pmod(tie, F.lit(max(1, total // sample_docs))) == 0)).select(tie.alias("tie"), F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "").alias("w"))
-    # A text once, however often it repeats, and of those that the hash chose the first by hash: the same sample in every run.
-    chosen = materialize(chosen.where(F.size("w") >= 60).dropDuplicates(["tie"]).orderBy("tie").limit(2 * sample_docs), "sample")
-    some = F.slice("w", (F.pmod("tie", F.greatest(F.size("w") - 480, F.lit(1))) + 1).cast("int"), 480)
-    pieces = chosen.select("tie", some.alias("w")).select("tie", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 30) / 30).cast("int")), lambda i: F.slice("w", i * 30 + 1, 30))).alias("at", "w"))
+    plain = F.regexp_replace(text, "[A-Za-z0-9+/_-]{%d,}" % least, " ")  # the runs under test are not ordinary words of their own null
+    found = docs.select(F.xxhash64(text).alias("tie"), F.filter(F.split(F.lower(plain), "[^a-z]+"), lambda w: w != "").alias("w")).where(F.size("w") > 0)
+    each_piece = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / PIECE_WORDS).cast("int")), lambda i: F.slice("w", i * PIECE_WORDS + 1, PIECE_WORDS))
+    pieces = found.select("tie", F.posexplode(each_piece).alias("at", "w"))
     pieces = pieces.withColumn("h", F.xxhash64("tie", "at"))
     names = tuple(ENCODINGS)
     pick = lambda values, h: F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(h, F.lit(len(values))) + 1).cast("int"))
@@ -203,12 +203,22 @@ def ordinary_runs(docs: DataFrame, text_col: str, sample_docs: int) -> DataFrame
     return pieces.select("encoding", "n", F.substr(made, F.lit(1), F.col("n")).alias("run")).where(F.length("run") == F.col("n"))
 
 
-def ordinary_fit(docs: DataFrame, text_col: str = "text", sample_docs: int = 1000, least_runs: int = 30) -> dict[str, tuple[float, float, float, float]]:
-    """Per encoding, intercept and slope over sqrt(length) of the mean and of the lower-tail deviation of y for ordinary runs."""
+def ordinary_fit(docs: DataFrame, text_col: str = "text", least: int = 20, least_runs: int = 30) -> dict[str, tuple[float, float, float, float]]:
+    """Per encoding, intercept and slope over sqrt(length) of the mean and of the lower-tail deviation of y for ordinary runs.
+
+    Both come from whole counts in bins, so that they don't depend on the order of the rows.
+    """
     y = _y(uniform_p(F.col("run"), F.col("encoding")))
-    made = materialize(ordinary_runs(docs, text_col, sample_docs), "ordinary")
-    runs = made.select("encoding", "n", y.alias("y"))
-    cells = runs.groupBy("encoding", "n").agg(F.count("*").alias("rows"), F.avg("y").alias("mean"), F.percentile("y", 0.01).alias("low")).collect()  # at most a row for each encoding and length
+    runs = ordinary_runs(docs, text_col, least).select("encoding", "n", F.floor(y * Y_BINS).alias("bin"))
+    counts = materialize(runs.groupBy("encoding", "n", "bin").agg(F.count("*").alias("k")), "ordinary")
+    cell = Window.partitionBy("encoding", "n")
+    summed = counts.select("*", F.sum("k").over(cell).alias("rows"), F.sum("k").over(cell.orderBy("bin")).alias("upto"))
+    # The hundredth part of the runs ends within the first bin that reaches it.
+    beyond = F.col("upto") - F.col("rows") * 0.01
+    within = F.when((beyond >= 0) & (beyond < F.col("k")), F.col("bin") + 1 - beyond / F.col("k"))
+    mean = F.sum((F.col("bin") * 2 + 1) * F.col("k")) / F.sum("k") / (2 * Y_BINS)
+    cells = summed.groupBy("encoding", "n").agg(F.sum("k").alias("rows"), mean.alias("mean"), (F.min(within) / Y_BINS).alias("low")).collect()  # at most a row for each encoding and length
+    release(counts)
     fit = dict(DEFAULT_FIT)
     for name in ENCODINGS:
         mine = [(math.sqrt(c.n), c.rows, c.mean, (c.mean - c.low) / 2.326) for c in cells if c.encoding == name and c.rows >= least_runs]
@@ -239,12 +249,12 @@ def battery(c: Column, fit: dict[str, tuple[float, float, float, float]] | None
     return let(ready, lambda z: F.when(z["kind"].isNull(), F.lit(1.0)).otherwise(against(z)))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20, full: int = 64, rate: float = 0.01, sample_docs: int = 1000) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20, full: int = 64, rate: float = 0.01) -> DataFrame:
     """doc_id, base and spans, arrays of (s, kind, e, k): start, kind, end and the kind's place in KINDS.
 
     n_new counts the random spans that touch no base span.
     """
-    fit = ordinary_fit(docs, text_col, sample_docs)
+    fit = ordinary_fit(docs, text_col, least)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     low = F.lower("text")
     rows = _matches(rows, "assign", ASSIGN, low.rlike("passw(?:or)?d|secret|token|api_?key"))

@@ -82,3 +82,16 @@ def test_power_and_false_discoveries(spark):
 def test_fit_without_words_is_the_default(spark):
     assert secrets.ordinary_fit(frame(spark, [(1, None, "a"), (2, "日本 語", "b")])) == secrets.DEFAULT_FIT
     assert secrets.ordinary_fit(frame(spark, [])) == secrets.DEFAULT_FIT
+
+
+def test_ordinary_runs_come_from_every_document_and_its_whole_text(spark):
+    rng = random.Random(12)
+    short = lambda n: " ".join("".join(rng.choices("aeionrstldhc", k=rng.randrange(4, 9))) for _ in range(n))
+    names = set(secrets.ENCODINGS)
+    # One long text, many short ones: each is enough for a fit of its own.
+    for rows in ([(1, short(60_000), "a")], [(i, short(45), "a") for i in range(1500)]):
+        docs = frame(spark, rows)
+        assert secrets.ordinary_runs(docs, "text").count() >= sum(len(t.split()) // 30 for _, t, _ in rows)
+        fit = secrets.ordinary_fit(docs)
+        assert {n for n in names if fit[n] != secrets.DEFAULT_FIT[n]} == names
+        assert fit == secrets.ordinary_fit(docs.repartition(5))
