@@ -44,25 +44,31 @@ NODE_ROWS = 256
 CUTS = 64
 
 
-def simhash(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """The fingerprint of a text: a bit is set if it is in over half the shingle hashes."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and blanks only
-    if not found:
-        return 0
-    joined = b" ".join(found)
+def shingle_hashes(found: list[bytes], width: int = 4, seed: int = 42) -> np.ndarray:
+    """The hashes of the shingles of a sequence of words, repeats included."""
+    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
     if len(found) <= width:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([digest(joined, seed)] if found else [], np.uint64)
     lengths = np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(found) - width + 1].tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)), np.uint64, len(starts))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         counts += np.unpackbits(hashes[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
+def simhash(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """The fingerprint of a text: a bit is set if it is in over half the shingle hashes."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and blanks only
+    return majority_bits(shingle_hashes(found, width, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """doc_id and fingerprint, the 64 bits as a signed long, of each row."""
 

@@ -3,19 +3,22 @@
 Two texts are linked if the sets of their five-word shingles have a Jaccard similarity of at least ``threshold``; groups are the
 components of the links. Words are those of op4. Fewer words than a shingle make one shingle of the whole sequence.
 
-1. Texts equal by words (a 128-bit hash) are one node. A node has MINS minima of its shingle hashes under as many permutations, a band is
+1. Texts equal by words (a 128-bit hash) are one node. A node has the SimHash fingerprint of its shingles, and op4's index over Gray orders links those of 4
+   or fewer differing bits. The links, a spanning forest, are checked by the exact similarity; their components are the first groups. Looser
+   texts differ in more bits (about 10 at the threshold), so the steps below join what the index leaves apart and lose none of it.
+2. A node has MINS minima of its shingle hashes under as many permutations, a band is
    ROWS of them. Nodes that share a band stand in one bucket, whose head is the node with the sketch nearest to the bucket's majority
    bits: of edited copies, the one that the others are nearest to.
-2. Every other node of a bucket is compared with the head by the exact similarity, a pair once however many buckets it shares. The
-   components of these links are groups already.
-3. Nodes of buckets that hold several groups are open. Shingles that only one group has come first in their order, then those of few
+3. Every node of a bucket that isn't in its head's group is compared with the head by the exact similarity, a pair once however many buckets it shares. The
+   components of these links and the first are groups already.
+4. Nodes of buckets that hold several groups are open. Shingles that only one group has come first in their order, then those of few
    nodes. Two sets of sizes m and n are similar only if they share at least o = threshold / (1 + threshold) * (m + n) shingles, so their first common
    one stands no later than m - o in the one and n - o in the other. Only that far a node is listed under its shingles, as number and place,
    without text. Loosely similar texts differ in more than that, so they have no entries or none in common.
-4. The nodes of a shingle's list are compared with its first one, where places, sizes and sketches (a hashed bit of each minimum, RADIUS bits apart
+5. The nodes of a shingle's list are compared with its first one, where places, sizes and sketches (a hashed bit of each minimum, RADIUS bits apart
    at most) allow it; what is still in different groups then, with each other.
 
-Links are thus exact, and a pair is missed only if it shares no band, by chance (1 - s**4)**16, or its sketches differ too much. Of 20,000 pairs
+Links are thus exact, and a pair is missed only if its fingerprints differ in more than 4 bits and it shares no band, by chance (1 - s**4)**16, or its sketches differ too much. Of 20,000 pairs
 made at a similarity of exactly 0.8 eight shared no band and none had sketches too far apart; copies are never missed. A link through a third
 text may still join a missed pair. A group costs a comparison a member and bucket, not one a pair; pairs are compared by the text
 only where they could be similar as far as places and sketches tell.
@@ -35,6 +38,7 @@ from pyspark.sql import functions as F
 
 from pulsefield.llm.common import materialize, release
 from pulsefield.llm.components import connected_components
+from pulsefield.llm.simhash import majority_bits, near_links, shingle_hashes
 
 MINS, ROWS, RADIUS = 64, 4, 17
 _RNG = np.random.default_rng(42)
@@ -44,16 +48,14 @@ _SHIFTS = _RNG.integers(0, 1 << 64, MINS, np.uint64)
 
 def shingle_set(text: str | None, width: int = 5, seed: int = 42) -> tuple[bytes, np.ndarray]:
     """A hash of 16 bytes of the words of a text and the distinct hashes of its shingles in order."""
+    key, hashes = _hashed(text, width, seed)
+    return key, np.unique(hashes)
+
+
+def _hashed(text: str | None, width: int, seed: int = 42) -> tuple[bytes, np.ndarray]:
+    """The key of shingle_set() and the hashes of all shingles, repeats included."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and blanks only
-    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
-    key = xxhash.xxh3_128_digest(joined, seed)
-    if len(found) <= width:
-        return key, np.array([digest(joined, seed)] if found else [], np.uint64)
-    lengths = np.fromiter(map(len, found), np.int64, len(found))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: len(found) - width + 1].tolist()
-    hashes = (digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True))
-    return key, np.unique(np.fromiter(hashes, np.uint64, len(starts)))
+    return xxhash.xxh3_128_digest(b" ".join(found), seed), shingle_hashes(found, width, seed)
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -75,18 +77,20 @@ def _sketch(least: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
-    """rid, key (of the words), n (distinct shingles), bands and sketch of rows (rid, text)."""
+    """rid, key (of the words), n (distinct shingles), fingerprint, bands and sketch of rows (rid, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for rid, text in zip(batch["rid"].tolist(), batch["text"], strict=True):
-                key, hashes = shingle_set(text, width)
+                key, every = _hashed(text, width)
+                hashes = np.unique(every)
                 least = minima(hashes)
-                out.append((rid, key, len(hashes), _bands(least) if len(hashes) > 1 else [], _sketch(least)))
-            yield pd.DataFrame(out, columns=["rid", "key", "n", "bands", "sketch"])
+                bits = int(np.uint64(majority_bits(every)).view(np.int64))
+                out.append((rid, key, len(hashes), bits, _bands(least) if len(hashes) > 1 else [], _sketch(least)))
+            yield pd.DataFrame(out, columns=["rid", "key", "n", "fingerprint", "bands", "sketch"])
 
-    return docs.select("rid", F.col("text").cast("string").alias("text")).mapInPandas(run, "rid long, key binary, n long, bands array<long>, sketch long")
+    return docs.select("rid", F.col("text").cast("string").alias("text")).mapInPandas(run, "rid long, key binary, n long, fingerprint long, bands array<long>, sketch long")
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, width: int = 5) -> DataFrame:
@@ -134,6 +138,18 @@ def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return nodes.join(labels, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
 
 
+def _close(nodes: DataFrame) -> DataFrame:
+    """u and v of links, a spanning forest, that join all nodes (rid, n, fingerprint) whose fingerprints are near; of one fingerprint each node with the first."""
+    placed = materialize(nodes.where("n > 1").select("rid", "fingerprint"), "fingerprints")
+    heads = materialize(placed.groupBy("fingerprint").agg(F.min("rid").alias("head")), "fingerheads")
+    same = placed.join(heads, "fingerprint").where("rid <> head").select(F.col("head").alias("u"), F.col("rid").alias("v"))
+    forest = near_links(heads.select("fingerprint")).distinct()
+    found = forest.join(heads.toDF("u", "x"), "u").join(heads.toDF("v", "y"), "v").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+    out = materialize(same.unionAll(found).distinct(), "close")
+    release(placed, heads)
+    return out
+
+
 def _held(nodes: DataFrame) -> DataFrame:
     """rid, band and head of each node (rid, n, bands, sketch) that shares a band with another."""
     placed = materialize(nodes.select("rid", "sketch", F.explode("bands").alias("band")), "bands")
@@ -193,18 +209,25 @@ def _compared(a: DataFrame, b: DataFrame, texts: DataFrame, width: int, threshol
 
 
 def similar_components(nodes: DataFrame, texts: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """rid and component of nodes (rid, n, bands, sketch) that are similar to another; components are those of all pairs that share a band and are similar."""
+    """rid and component of nodes (rid, n, fingerprint, bands, sketch) that are similar to another; components are those of all similar pairs that the
+    fingerprints join or that share a band."""
+    close = _close(nodes)
+    checked = materialize(similarities(close, texts, width), "checked")
+    seeds = materialize(_joined(checked, threshold), "seeds")
+
     held = _held(nodes)
-    stars = materialize(held.where("head <> rid").select(F.col("head").alias("u"), F.col("rid").alias("v")).distinct(), "starpairs")
+    ends = _labelled(held.where("head <> rid").select("rid", "head"), seeds).join(seeds.toDF("head", "other"), "head", "left")
+    apart = ends.where(F.col("component") != F.coalesce("other", "head"))
+    stars = materialize(apart.select(F.col("head").alias("u"), F.col("rid").alias("v")).distinct(), "starpairs")
     near = materialize(similarities(stars, texts, width), "stars")
-    first = materialize(_joined(near, threshold), "first")
+    first = materialize(_joined(near.unionAll(checked), threshold), "first")
 
     placed = materialize(_labelled(held.select("rid", "band"), first), "placed")
     several = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
     open_ = materialize(placed.join(several, "band").select("rid").distinct(), "open")
     tokens = materialize(_shingles(_labelled(nodes.select("rid", "n", "sketch").join(open_, "rid", "left_semi"), first), texts, width), "shingles")
     lists = _listed(tokens, threshold)
-    release(held, stars, near, placed, open_, tokens)
+    release(close, checked, seeds, held, stars, near, placed, open_, tokens)
 
     heads = materialize(lists.groupBy("h").agg(F.min(F.struct("rid", "n", "sketch", "component", "at")).alias("head")).select("h", "head.*"), "listheads")
     tried = _compared(lists, heads, texts, width, threshold)
@@ -231,7 +254,7 @@ def similar_components(nodes: DataFrame, texts: DataFrame, width: int = 5, thres
 def similar_groups(texts: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """rid and component, the least rid reachable over links, of rows (rid, text); rids are distinct."""
     marked = materialize(signatures(texts, width), "signatures")
-    nodes = materialize(marked.groupBy("key").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = materialize(marked.groupBy("key").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     grouped = materialize(_labelled(nodes.select("key", "rid"), similar_components(nodes, texts, width, threshold)).select("key", "component"), "grouped")
     release(nodes)
     return marked.select("rid", "key").join(grouped, "key").select("rid", "component")

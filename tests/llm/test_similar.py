@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from pulsefield.llm import similar
+from pulsefield.llm import similar, simhash
 from tests.llm.helpers import documents, frame, prose
 
 
@@ -108,3 +108,19 @@ def test_groups_inside_a_loose_group(spark, monkeypatch):
     want = groups(texts)
     assert [got[i] for i in range(len(texts))] == [want.index(g) for g in want]
     assert pairs < 20 * len(texts)
+
+
+def test_fingerprints_give_the_first_groups(spark, monkeypatch):
+    # Without bands, only the index over fingerprints is left to join copies; what it proposes is checked by the exact similarity.
+    rng, texts = random.Random(7), []
+    for _ in range(6):
+        base = prose(rng, 400, 5000)
+        texts += [base, edited(rng, base, 1), base.upper() + " end"]
+    texts += ["one two three four five six", "one two three four five seven", "one", "", "  "]
+    monkeypatch.setattr(similar, "_bands", lambda least: [])
+    got = dict(map(tuple, similar.similar_groups(spark.createDataFrame(list(enumerate(texts)), "rid long, text string")).collect()))
+    want, bits = groups(texts), [simhash.simhash(t, 5) for t in texts]
+    linked = [(i, j) for i in range(18) for j in range(i) if (bits[i] ^ bits[j]).bit_count() <= 4]
+    assert len(linked) >= 6 and all(got[i] == got[j] for i, j in linked)
+    assert all(want[i] == want[j] for i in range(len(texts)) for j in range(i) if got[i] == got[j])
+    assert got[21] == got[22] and len({got[i] for i in (18, 19, 20, 21)}) == 4
